@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scriptorium.llm import encoding, mixing, splits, tokens
+from scriptorium.llm import encoding, language, mixing, quality, splits, tokens
 from scriptorium.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,11 +44,33 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(table(spark, d, "documents"), table(spark, d, "source_targets"))[1]
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return quality.judge(table(spark, d, "paragraphs")).select("row_id", "kind")
+
+
+def p5_outliers(spark: SparkSession, d: str) -> DataFrame:
+    return quality.judge(table(spark, d, "paragraphs"))
+
+
+def p5_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return quality.statistics(table(spark, d, "paragraphs"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return language.found(table(spark, d, "documents"))
+
+
+def p10_languages(spark: SparkSession, d: str) -> DataFrame:
+    return language.detect(table(spark, d, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found, "p1_splits": p1_splits, "p1_shares": p1_shares,
+    "p5_found": p5_found, "p5_outliers": p5_outliers, "p5_statistics": p5_statistics,
     "p7_found": p7_found, "p7_restored": p7_restored,
     "p8_ids": p8_ids,
     "p9_mix": p9_mix, "p9_shares": p9_shares,
+    "p10_found": p10_found, "p10_languages": p10_languages,
 }
 
 SQL: dict[str, str] = {}

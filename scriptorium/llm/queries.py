@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scriptorium.llm import encoding, language, mixing, quality, splits, tokens
+from scriptorium.llm import encoding, language, mixing, overlap, pairs, quality, splits, tokens
 from scriptorium.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,14 @@ def p1_shares(spark: SparkSession, d: str) -> DataFrame:
     return splits.report(p1_splits(spark, d), table(spark, d, "split_targets"))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.judge(table(spark, d, "variants")).select("row_id", "defect")
+
+
+def p6_defects(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.judge(table(spark, d, "variants"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return encoding.restore(table(spark, d, "paragraphs")).select("row_id")
 
@@ -44,6 +52,14 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(table(spark, d, "documents"), table(spark, d, "source_targets"))[1]
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.found(table(spark, d, "paragraphs"), table(spark, d, "variants"))
+
+
+def p3_report(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.report(table(spark, d, "paragraphs"), table(spark, d, "variants"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return quality.judge(table(spark, d, "paragraphs")).select("row_id", "kind")
 
@@ -66,7 +82,9 @@ def p10_languages(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found, "p1_splits": p1_splits, "p1_shares": p1_shares,
+    "p3_found": p3_found, "p3_report": p3_report,
     "p5_found": p5_found, "p5_outliers": p5_outliers, "p5_statistics": p5_statistics,
+    "p6_found": p6_found, "p6_defects": p6_defects,
     "p7_found": p7_found, "p7_restored": p7_restored,
     "p8_ids": p8_ids,
     "p9_mix": p9_mix, "p9_shares": p9_shares,

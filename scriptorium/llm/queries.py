@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scriptorium.llm import encoding, language, mixing, overlap, pairs, quality, splits, tokens
+from scriptorium.llm import encoding, language, mixing, names, overlap, pairs, quality, splits, tokens
 from scriptorium.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,6 +60,18 @@ def p3_report(spark: SparkSession, d: str) -> DataFrame:
     return overlap.report(table(spark, d, "paragraphs"), table(spark, d, "variants"))
 
 
+def _names(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return table(spark, d, "documents_metadata"), table(spark, d, "name_registry"), table(spark, d, "char_readings")
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return names.found(*_names(spark, d))
+
+
+def p4_entities(spark: SparkSession, d: str) -> DataFrame:
+    return names.linked(*_names(spark, d))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return quality.judge(table(spark, d, "paragraphs")).select("row_id", "kind")
 
@@ -83,6 +95,7 @@ def p10_languages(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found, "p1_splits": p1_splits, "p1_shares": p1_shares,
     "p3_found": p3_found, "p3_report": p3_report,
+    "p4_found": p4_found, "p4_entities": p4_entities,
     "p5_found": p5_found, "p5_outliers": p5_outliers, "p5_statistics": p5_statistics,
     "p6_found": p6_found, "p6_defects": p6_defects,
     "p7_found": p7_found, "p7_restored": p7_restored,

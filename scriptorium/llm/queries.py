@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scriptorium.llm import encoding, language, mixing, names, overlap, pairs, quality, splits, tokens
+from scriptorium.llm import encoding, language, mixing, names, overlap, pairs, quality, scans, splits, tokens
 from scriptorium.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +52,14 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(table(spark, d, "documents"), table(spark, d, "source_targets"))[1]
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return scans.found(table(spark, d, "paragraphs"))
+
+
+def p2_restored(spark: SparkSession, d: str) -> DataFrame:
+    return scans.restore(table(spark, d, "paragraphs"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return overlap.found(table(spark, d, "paragraphs"), table(spark, d, "variants"))
 
@@ -94,6 +102,7 @@ def p10_languages(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found, "p1_splits": p1_splits, "p1_shares": p1_shares,
+    "p2_found": p2_found, "p2_restored": p2_restored,
     "p3_found": p3_found, "p3_report": p3_report,
     "p4_found": p4_found, "p4_entities": p4_entities,
     "p5_found": p5_found, "p5_outliers": p5_outliers, "p5_statistics": p5_statistics,

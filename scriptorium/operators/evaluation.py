@@ -40,7 +40,7 @@ def metrics(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def confusion(df: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, y, pred_0, pred_1): rows are the true class."""
-    return df.groupBy(*keys, "y").pivot("pred", [0, 1]).agg(F.count("*")).select(*keys, "y", F.coalesce("0", F.lit(0)).alias("pred_0"), F.coalesce("1", F.lit(0)).alias("pred_1"))
+    return df.groupBy(*keys, "y").pivot("pred", [0, 1]).agg(F.count("p")).select(*keys, "y", F.coalesce("0", F.lit(0)).alias("pred_0"), F.coalesce("1", F.lit(0)).alias("pred_1"))
 
 
 def by_difficulty(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -48,7 +48,8 @@ def by_difficulty(df: DataFrame, keys: list[str]) -> DataFrame:
     s = auc(df.where("difficulty = 'standard'"), keys, "standard_auc")
     hard = df.where("difficulty = 'hard'")
     h = auc(hard, keys, "hard_auc")
-    tp, pos, said = F.count_if("y = 1 AND pred = 1"), F.count_if("y = 1"), F.count_if("pred = 1")
+    y, q = F.col("y") == 1, F.col("pred") == 1
+    tp, pos, said = F.count_if(y & q), F.count_if(y), F.count_if(q)
     g = hard.groupBy(*keys).agg((tp / F.when(pos > 0, pos)).alias("hard_recall"), (tp / F.when(said > 0, said)).alias("hard_precision_true"))
     h = h.join(g, keys).select(*keys, "hard_auc", *(F.when(F.col("hard_auc").isNotNull(), F.col(c)).alias(o) for c, o in (("hard_recall", "hard_precision"), ("hard_recall", "hard_recall"), ("hard_precision_true", "hard_precision_true"))))
     return s.join(h, keys, "full")

@@ -46,14 +46,21 @@ def title(c: Column) -> Column:
     return F.coalesce(F.get(F.filter(named, lambda x: (F.length(x) > 5) & (F.length(x) < 100)), F.lit(0)), F.lit(""))
 
 
-def _first(c: Column, patterns: tuple[str, ...], passes, tidy=lambda x: x) -> Column:
-    """The first extract that passes, line by line, pattern by pattern within a line."""
-    found = F.flatten(F.transform(F.slice(lines(c), 1, 100), lambda x: F.array(*(tidy(F.regexp_extract(x, rx(p), 1)) for p in patterns))))
+def _first(c: Column, patterns: tuple[str, ...], passes, tidy=lambda x: x, words: tuple[str, ...] | None = None) -> Column:
+    """The first extract that passes, line by line, pattern by pattern within a line; a pattern runs only where the word it needs occurs."""
+
+    def extracts(x: Column) -> Column:
+        out = [tidy(F.regexp_extract(x, rx(p), 1)) for p in patterns]
+        if words:
+            out = [F.when(x.contains(w), e).otherwise(F.lit("")) for w, e in zip(words, out)]
+        return F.array(*out)
+
+    found = F.flatten(F.transform(F.slice(lines(c), 1, 100), extracts))
     return F.coalesce(F.get(F.filter(found, passes), F.lit(0)), F.lit(""))
 
 
 def school(c: Column) -> Column:
-    return _first(c, P.SCHOOL, lambda x: (F.length(x) > 4) & ~x.contains("专业") & ~x.contains("班级"))
+    return _first(c, P.SCHOOL, lambda x: (F.length(x) > 4) & ~x.contains("专业") & ~x.contains("班级"), words=("大学", "学院", "研究院"))
 
 
 def major(c: Column) -> Column:

@@ -21,9 +21,13 @@ METADATA = "doc_id string, paper_hash string, source_doc_id string, year int, ti
 
 def read_text(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """(path, text): whole files in UTF-8 with universal line ends, folders searched to any depth."""
-    r = spark.read.option("wholetext", True).option("recursiveFileLookup", True)
-    r = r.option("pathGlobFilter", glob) if glob else r
-    return r.text(path).select(F.col("_metadata.file_path").alias("path"), newlines(F.col("value")).alias("text"))
+    d = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob)
+    return d.select(decoded(F.col("_metadata.file_path")).alias("path"), newlines(F.col("value")).alias("text"))
+
+
+def decoded(uri: Column) -> Column:
+    """A file's path as it is written, not as a URI escapes it."""
+    return F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B")))
 
 
 def file_name(path: Column) -> Column:
@@ -96,7 +100,7 @@ def read_json_envelope(spark: SparkSession, path: str, field: str = "metadata",
 def read_variant_files(spark: SparkSession, path: str) -> DataFrame:
     """Variants of files named {split}_{type}_variants.json, type and split from the name; files that are no JSON give no rows."""
     d = spark.read.schema(VARIANT).option("multiLine", True).option("mode", "PERMISSIVE").option("pathGlobFilter", "*_variants.json").json(path)
-    name = stem(F.col("_metadata.file_path"))
+    name = stem(decoded(F.col("_metadata.file_path")))
     d = d.withColumn("split", F.regexp_extract(name, "^([^_]+)_(.+)_variants$", 1)).withColumn("file_type", F.regexp_extract(name, "^([^_]+)_(.+)_variants$", 2))
     return d.where("_corrupt_record IS NULL").drop("_corrupt_record")
 

@@ -152,24 +152,22 @@ def greedy_counts(sizes: list[tuple[int, int]], shares: dict[str, float]) -> dic
     for s, c in sorted(sizes, reverse=True):
         runs: list[tuple[str, int]] = []
         while c:
-            best = max(names, key=lambda k: need[k])
-            rest = max((need[k] for k in names if k != best), default=float("-inf"))
-            n = int(min(c, max(1, (need[best] - rest) // s)))
-            need[best] -= n * s
-            c -= n
-            if runs and runs[-1][0] == best:
-                runs[-1] = (best, runs[-1][1] + n)
+            top = max(need.values())
+            # splits within one group of the furthest are level: they take turns until they meet the next one
+            level = [k for k in names if need[k] > top - s]
+            below = max((need[k] for k in names if k not in level), default=float("-inf"))
+            rounds = min(c // len(level), int((min(need[k] for k in level) - below) // s) if below > float("-inf") else c)
+            if rounds >= 1:
+                dealt = [(k, rounds) for k in level]
             else:
-                runs.append((best, n))
-            if len(runs) > 64 and c > 3 * len(names) * 64:
-                # all splits are level: deal the bulk in proportion, then go on singly
-                bulk = c - 3 * len(names) * 16
-                tot = sum(shares.values())
-                dealt = [(k, int(bulk * shares[k] / tot)) for k in names]
-                for k, n in dealt:
-                    need[k] -= n * s
-                    c -= n
-                runs += [d for d in dealt if d[1]]
+                dealt = [(max(names, key=lambda k: need[k]), 1)]
+            for k, n in dealt:
+                need[k] -= n * s
+                c -= n
+                if runs and runs[-1][0] == k:
+                    runs[-1] = (k, runs[-1][1] + n)
+                else:
+                    runs.append((k, n))
         out[s] = runs
     return out
 

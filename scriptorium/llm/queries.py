@@ -113,4 +113,16 @@ QUERIES: dict[str, Query] = {
     "p10_found": p10_found, "p10_languages": p10_languages,
 }
 
-SQL: dict[str, str] = {}
+_WS = r"[\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+_NOBODY = ", ".join(f"'{p}'" for p in splits.PLACEHOLDERS)
+SQL: dict[str, str] = {
+    "p1_found": f"""WITH RECURSIVE m AS (SELECT DISTINCT doc_id, paper_hash, author, school FROM documents_metadata WHERE doc_id IS NOT NULL),
+k AS (SELECT doc_id, 'h' || paper_hash AS k FROM m WHERE regexp_replace(paper_hash, '{_WS}', '', 'g') <> '' AND paper_hash <> '{splits.EMPTY_HASH}'
+ UNION SELECT doc_id, 'n' || author || chr(10) || school FROM m WHERE regexp_replace(author, '{_WS}', '', 'g') <> '' AND regexp_replace(school, '{_WS}', '', 'g') <> '' AND lower(regexp_replace(author, '^{_WS}|{_WS}$', '', 'g')) NOT IN ({_NOBODY})),
+e AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b FROM k a JOIN k b USING (k)),
+reach(v, r) AS (SELECT DISTINCT doc_id, doc_id FROM m UNION SELECT reach.v, e.b FROM reach JOIN e ON reach.r = e.a),
+g AS (SELECT v, min(r) AS g FROM reach GROUP BY v),
+w AS (SELECT DISTINCT doc_id, regexp_replace(regexp_replace(lower(regexp_replace(doc_id, '{_WS}', '', 'g')), '^.*/', ''), '\\.[a-z]{{1,4}}$', '') AS b FROM variants WHERE doc_id IS NOT NULL),
+c AS (SELECT doc_id, coalesce(nullif(regexp_extract(b, '(?:^|_)(d[0-9]{{10}})(?:_[0-9]+)?$', 1), ''), b) AS c FROM w)
+SELECT v AS doc_id, g AS group_doc_id FROM g WHERE v <> g UNION SELECT c.doc_id, g.g FROM c JOIN g ON c.c = g.v WHERE c.doc_id <> g.g""",
+}

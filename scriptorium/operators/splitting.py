@@ -48,9 +48,10 @@ def hard_samples(paragraphs: DataFrame, ratio: float = P.HARD_RATIO, by: str = "
     and only rows of one score and bucket are sorted together. The cap per document is a window over its candidates alone.
     """
     s = scored(paragraphs)
-    # order buckets keep the order of the ids: an equal-width grid between the least and the largest id
+    # order buckets keep the order of the ids (numbers): an equal-width grid between the least and the largest id
+    d = lambda c: F.col(c).cast("double")
     lim = s.agg(F.min(order).alias("lo"), F.max(order).alias("hi"))
-    s = s.join(F.broadcast(lim)).withColumn("ob", F.when(F.col("hi") > F.col("lo"), F.floor((F.col(order) - F.col("lo")) * F.lit(buckets) / (F.col("hi") - F.col("lo") + 1))).otherwise(0).cast("int")).drop("lo", "hi")  # one row
+    s = s.join(F.broadcast(lim)).withColumn("ob", F.when(F.col("hi") > F.col("lo"), F.floor((d(order) - d("lo")) * F.lit(float(buckets)) / (d("hi") - d("lo") + 1.0))).otherwise(0).cast("int")).drop("lo", "hi")  # one row
     counts = s.groupBy(by, "score", "ob").agg(F.count("*").alias("n"))
     w = Window.partitionBy(by).orderBy(F.desc("score"), "ob")  # at most scores x buckets rows a split
     counts = counts.select(by, "score", "ob", (F.sum("n").over(w) - F.col("n")).alias("before"), F.sum("n").over(Window.partitionBy(by)).alias("total"))

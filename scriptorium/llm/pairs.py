@@ -216,12 +216,28 @@ def truncated(answer: str, ends: np.ndarray) -> bool:
     return True
 
 
-def _script_votes(s: str, words: dict) -> str | None:
-    doc, _ = language.languages(s, words)
-    return doc[0] if doc else None
-
-
-def defect(prompt: str | None, answer: str | None, ends: np.ndarray, words: dict) -> tuple[str | None, float]:
+HAN, KANA, CYRILLIC, LATIN = (re.compile(f"[{c}]+") for c in ("一-鿿", "ぁ-ヿ", "Ѐ-ӿ", "A-Za-zÀ-ɏ"))
+ANCHORS = {k: frozenset(v.split()) for k, v in language.ANCHORS.items()}
+
+
+def language_vote(s: str) -> str | None:
+    """The language of a text: by script, and among those in Latin letters by the votes of function words."""
+    n = {k: sum(map(len, r.findall(s))) for k, r in (("zh", HAN), ("ja", KANA), ("ru", CYRILLIC), ("latin", LATIN))}
+    if not any(n.values()):
+        return None
+    if n["ja"] * 8 >= n["zh"] + n["ja"] and n["ja"] + n["zh"] > n["latin"] / 3:
+        return "ja"
+    # an ideograph says about as much as three letters
+    top = max((3 * n["zh"], "zh"), (n["ru"], "ru"), (n["latin"], "latin"))[1]
+    if top != "latin":
+        return top
+    words = LATIN.findall(s.lower())
+    votes = {k: sum(w in v for w in words) for k, v in ANCHORS.items()}
+    best = max(votes, key=votes.__getitem__)
+    return best if votes[best] >= 2 else None
+
+
+def defect(prompt: str | None, answer: str | None, ends: np.ndarray) -> tuple[str | None, float]:
     """The defect of a pair, with the share of the answer that is copied."""
     text = bare(answer or "")
     a = normal(text)
@@ -235,7 +251,7 @@ def defect(prompt: str | None, answer: str | None, ends: np.ndarray, words: dict
         share, longest = coverage(p, a)
         if longest >= len(p) and len(a) <= 1.5 * len(p) + 20 or (share >= 0.985 and len(a) >= 0.9 * len(p)):
             return "copied", share
-        lp, la = _script_votes(prompt, words), _script_votes(text, words)
+        lp, la = language_vote(prompt), language_vote(text)
         if lp and la and lp != la and len(a) >= 8:
             return "other_language", share
     if truncated(text, ends):
@@ -248,15 +264,14 @@ def judge(variants: DataFrame) -> DataFrame:
     spark = variants.sparkSession
     texts = variants.select(F.explode(F.array("original_text", "variant_text")).alias("t")).where("t IS NOT NULL")
     ends = spread(spark, _table(texts.mapInArrow(_endings, "cell int, n bigint")))
-    words = spark.sparkContext.broadcast({w: tuple(1.0 if w in v.split() else -1.0 for v in language.ANCHORS.values()) for k in language.ANCHORS.values() for w in k.split()})
     rows = variants.select("row_id", "original_text", "variant_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e, w = ends.value[0], words.value
+        e = ends.value[0]
         for b in batches:
             out = []
             for i, p, a in zip(*(b.column(j).to_pylist() for j in range(3))):
-                d, share = defect(p, a, e, w)
+                d, share = defect(p, a, e)
                 if d:
                     out.append((i, d, round(share, 4)))
             cols = list(zip(*out)) if out else [[], [], []]

@@ -100,6 +100,19 @@ def test_scan_noise(decoder):
     assert decoder.read(long_en + " See page 12 of the appendix for the rating of suppliers.")[0] == set()
 
 
+def test_scan_words_are_decoded_together(decoder):
+    long_en = (EN * 2).strip()
+    for bad, good in (("varia tion", "variation"), ("varia-\nti0n", "variation"), ("ofthe", "of the"), ("aw are ness", "awareness")):
+        kinds, fixed = decoder.read(long_en.replace(good, bad, 1))
+        assert kinds and fixed == long_en
+    # Latin words in a Chinese text
+    assert decoder.read(ZH + "即awarcness和suppl1ers。" + ZH)[1] == ZH + "即awareness和suppliers。" + ZH
+    # each wrong character stands between right neighbours only once the other is undone
+    zh = "关于渠道结构可以改善企业成本，管理者考虑市场份额。" * 2
+    kinds, fixed = decoder.read(zh.replace("管理者", "菅埋者", 1))
+    assert kinds == {"misread"} and fixed == zh
+
+
 def test_scan_table_forms(spark):
     rows = [(1, None), (2, ""), (3, " \n"), (4, "1\n2\n3"), (5, ZH), (5, ZH)]
     df = spark.createDataFrame([(i, t, 7) for i, t in rows], "row_id long, text string, noise int")

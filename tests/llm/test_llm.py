@@ -113,6 +113,13 @@ def test_scan_words_are_decoded_together(decoder):
     assert kinds == {"misread"} and fixed == zh
 
 
+def test_scan_pages_inside_chinese_text(decoder):
+    for page in ("-12-", "[3/40]"):
+        assert decoder.read(ZH.replace("前人研究", page + "前人研究") + ZH) == ({"page_number"}, ZH + ZH)
+    kept = ZH + "详见〔3〕。" + ZH
+    assert decoder.read(kept) == (set(), kept)
+
+
 def test_scan_table_forms(spark):
     rows = [(1, None), (2, ""), (3, " \n"), (4, "1\n2\n3"), (5, ZH), (5, ZH)]
     df = spark.createDataFrame([(i, t, 7) for i, t in rows], "row_id long, text string, noise int")

@@ -120,6 +120,19 @@ def test_scan_pages_inside_chinese_text(decoder):
     assert decoder.read(kept) == (set(), kept)
 
 
+def test_scan_paragraph_ends(decoder):
+    # two paragraphs printed 20 characters a line: the first ends on a line of three fifths
+    first, second = (ZH + ZH)[:-1][:131] + "。", ZH * 2
+    wrap = lambda t: [t[i : i + 20] for i in range(0, len(t), 20)]
+    lines = wrap(first) + wrap(second)
+    assert 0.5 < len(wrap(first)[-1]) / 20 < 0.7
+    assert decoder.paragraphs(lines, True) == first + "\n" + second
+    # one sentence a line: the widths tell of no end
+    assert "\n" not in decoder.paragraphs([x + "。" for x in (ZH * 2).split("。") if x], True)
+    # and nothing like it inside a paragraph
+    assert decoder.paragraphs(wrap(second), True) == second
+
+
 def test_scan_table_forms(spark):
     rows = [(1, None), (2, ""), (3, " \n"), (4, "1\n2\n3"), (5, ZH), (5, ZH)]
     df = spark.createDataFrame([(i, t, 7) for i, t in rows], "row_id long, text string, noise int")

@@ -24,8 +24,6 @@ from pyspark.sql import functions as F
 from scriptorium.llm.splits import names_nobody
 from scriptorium.runtime import cut
 
-#: Spellings one entity may lend to the next round at most; official names and those made by rule are always kept.
-SPELLINGS = 400
 #: Traditional forms in names of schools and majors, and their simplified ones.
 TRADITIONAL = str.maketrans("學碩會計遊營銷場務經濟業與術財務項統係師範農漢華圖書館電腦網絡機構廣東蘇灣臺貿語習教導護醫藥鐵鋼礦", "学硕会计游营销场务经济业与术财务项统系师范农汉华图书馆电脑网络机构广东苏湾台贸语习教导护医药铁钢矿")
 #: Characters taken for one another by shape or sound.
@@ -113,46 +111,23 @@ def major_core(s: str) -> str:
     return folded(s) if not s.isascii() else re.sub(r"\s+", " ", s.strip().lower())
 
 
-class Profiles:
-    """Spellings of each entity; a string joins the entity its spelling is nearest to, if one is."""
-
-    def __init__(self, forms: dict[int, set[str]], schools: bool):
-        self.forms, self.schools, self.pairs = forms, schools, alike()
-        self.exact: dict[str, set[int]] = {}
-        self.block: dict[str, set[tuple[int, str]]] = {}
-        for e, fs in forms.items():
-            for f in fs:
-                self.exact.setdefault(f, set()).add(e)
-                for k in self.keys(f):
-                    self.block.setdefault(k, set()).add((e, f))
-
-    @staticmethod
-    def keys(f: str) -> list[str]:
-        if f.startswith("en:"):
-            place, _, kind = f[3:].partition(":")
-            return [f"k:{kind}"]
-        # a string of three characters with a wrong one in the middle shares its ends only
-        return [f"{len(f)}:{i}:{f[i : i + 2]}" for i in range(0, len(f) - 1)] + ([f"3::{f[0]}{f[2]}"] if len(f) == 3 else [])
-
-    def match(self, core: str) -> int | None:
-        hit = self.exact.get(core)
-        if hit:
-            return next(iter(hit)) if len(hit) == 1 else None
-        best: dict[int, float] = {}
-        for k in self.keys(core):
-            for e, f in self.block.get(k, ()):
-                if core.startswith("en:"):
-                    d = _edits(core[3:].split(":")[0], f[3:].split(":")[0]) if f.startswith("en:") else 9
-                    d = 0.5 * d if d <= 2 else 9
-                else:
-                    d = _near(core, f, self.pairs) if len(f) >= 4 or (len(f) == len(core) == 3) else 9
-                if d < best.get(e, 2.0):
-                    best[e] = d
-        if not best:
-            return None
-        low = min(best.values())
-        near = [e for e, d in best.items() if d == low]
-        return near[0] if len(near) == 1 else None
+def keys(f: str) -> list[str]:
+    """Where spellings near this one are found."""
+    if f.startswith("en:"):
+        place, _, kind = f[3:].partition(":")
+        return [f"k:{kind}"]
+    # a string of three characters with a wrong one in the middle shares its ends only
+    return [f"{len(f)}:{i}:{f[i : i + 2]}" for i in range(0, len(f) - 1)] + ([f"3::{f[0]}{f[2]}"] if len(f) == 3 else [])
+
+
+def distance(core: str, f: str, pairs: set[tuple[str, str]]) -> float:
+    """Of a string from a spelling: below 0 for the same, under 2 if they may mean the same."""
+    if core == f:
+        return -1.0
+    if core.startswith("en:"):
+        d = _edits(core[3:].split(":")[0], f[3:].split(":")[0]) if f.startswith("en:") else 9
+        return 0.5 * d if d <= 2 else 9.0
+    return _near(core, f, pairs) if len(f) >= 4 or (len(f) == len(core) == 3) else 9.0
 
 
 def _edits(a: str, b: str) -> int:
@@ -166,47 +141,63 @@ def _edits(a: str, b: str) -> int:
     return row[-1]
 
 
-def resolve_registered(values: DataFrame, registry: DataFrame, kind: str, rounds: int = 4) -> DataFrame:
+def _keyed(df: DataFrame, schema: str) -> DataFrame:
+    """Rows once for each block key of their column core, and once for the string itself."""
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            yield pdf.assign(key=[list(dict.fromkeys([f"={c}", *keys(c)])) for c in pdf["core"]]).explode("key")
+
+    return df.mapInPandas(run, f"{schema}, key string")
+
+
+def _matched(cores: DataFrame, forms: DataFrame) -> DataFrame:
+    """(core, e, d): the entity each string is nearest to, if it is one, and how near; forms has e and core, the spellings of entities."""
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pairs = alike()
+        for pdf in it:
+            pdf = pdf.assign(d=[distance(c, f, pairs) for c, f in zip(pdf["core"], pdf["form"])])
+            yield pdf.loc[pdf["d"] < 2.0, ["core", "e", "d"]]
+
+    at = _keyed(forms.select("e", "core"), "e bigint, core string").withColumnRenamed("core", "form")
+    near = _keyed(cores.select("core"), "core string").join(at, "key").select("core", "e", "form").mapInPandas(run, "core string, e bigint, d double")
+    best = near.groupBy("core", "e").agg(F.min("d").alias("d")).groupBy("core", "d").agg(F.count("*").alias("n"), F.min("e").alias("e"))
+    return best.groupBy("core").agg(F.min(F.struct("d", "n", "e")).alias("b")).where("b.n = 1").select("core", "b.e", "b.d")
+
+
+def resolve_registered(values: DataFrame, registry: DataFrame, kind: str) -> DataFrame:
     """(name, entity): the profile of each distinct string (column name), an entity of the registry or the string's own normal form.
 
-    The registry is a fixed table; of what strings add to its profiles, a bounded number of spellings travels to the next round.
+    Spellings of entities are a table, to which every string that matched adds its own, until a round adds none.
     """
-    official = {r["entity_id"]: r["official_name"] for r in registry.where(F.col("kind") == kind).collect()}
-    forms = {}
+    spark = values.sparkSession
+    official = {r["entity_id"]: r["official_name"] for r in registry.where(F.col("kind") == kind).collect()}  # a fixed table
+    first = []
     for e, o in official.items():
         if kind == "school":
-            forms[e] = school_forms(o)
+            first += [(e, f) for f in school_forms(o)]
         else:
-            forms[e] = {major_core(o), *(major_core(x) for x in MAJORS.get(o, "").split("|") if x)}
+            first += [(e, f) for f in {major_core(o), *(major_core(x) for x in MAJORS.get(o, "").split("|") if x)}]
     core = school_core if kind == "school" else major_core
-    left = values.where(~names_nobody(F.col("name"))).select("name").distinct()
-    done: list[DataFrame] = []
-    for _ in range(rounds):
-        profiles = Profiles(forms, kind == "school")
-
-        def run(it: Iterator[pd.DataFrame], profiles=profiles) -> Iterator[pd.DataFrame]:
-            for pdf in it:
-                cores = [core(n) for n in pdf["name"]]
-                yield pd.DataFrame({"name": pdf["name"], "core": cores, "e": [profiles.match(c) for c in cores]}).astype({"e": "Int64"})
-
-        seen = cut(left.mapInPandas(run, "name string, core string, e bigint"), "matched")
-        new = seen.where("e IS NOT NULL")
-        lent = new.groupBy("e", "core").agg(F.count("*").alias("n")).collect() if official else []
-        grown = {e: set(f) for e, f in forms.items()}
-        for r in sorted(lent, key=lambda r: (-r["n"], r["core"])):
-            if len(grown[r["e"]]) < SPELLINGS:
-                grown[r["e"]].add(r["core"])
-        done.append(new.select("name", F.concat(F.lit(f"{kind}:"), F.col("e").cast("string")).alias("entity")))
-        left = seen.where("e IS NULL").select("name", "core")
-        if not lent or grown == forms:
+
+    def cored(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            yield pd.DataFrame({"name": pdf["name"], "core": [core(n) for n in pdf["name"]]})
+
+    names = cut(values.where(~names_nobody(F.col("name"))).select("name").distinct().mapInPandas(cored, "name string, core string"), "cores")
+    forms = spark.createDataFrame(first, "e bigint, core string")
+    left = names.select("core").distinct()
+    done = spark.createDataFrame([], "core string, e bigint")
+    while official:
+        new = cut(_matched(left, forms), "matched")
+        done = done.unionByName(new.select("core", "e"))
+        lent = new.where("d >= 0").select("e", "core")
+        if lent.isEmpty():
             break
-        forms = grown
-        left = left.select("name")
-    rest = left.select("name", F.concat(F.lit("own:"), F.col("core") if "core" in left.columns else F.col("name")).alias("entity"))
-    out = rest
-    for d in done:
-        out = out.unionByName(d)
-    return out
+        forms = forms.unionByName(lent)
+        left = cut(left.join(new, "core", "left_anti"), "left")
+    return names.join(done, "core", "left").select("name", F.coalesce(F.concat(F.lit(f"{kind}:"), F.col("e").cast("string")), F.concat(F.lit("own:"), F.col("core"))).alias("entity"))
 
 
 HAN = re.compile("[㐀-鿿]+")

@@ -195,6 +195,17 @@ def test_names(spark):
     assert names.found(m, reg.limit(0), read.limit(0)).where("field = 'school'").count() == 1  # equal after normalisation
 
 
+def test_names_lend_until_nothing_merges(spark):
+    registry = spark.createDataFrame([(1, "school", "澄湖甲乙丙丁戊大学")], "entity_id int, kind string, official_name string")
+    # each spelling differs from the one before by a character: the last is reached in the sixth round
+    chain = ["澄湖甲乙丙丁戊大学"]
+    for i, c in enumerate("子丑寅卯辰巳"):
+        chain.append(chain[-1][: i + 1] + c + chain[-1][i + 2 :])
+    values = spark.createDataFrame([(x,) for x in [*chain, "无名天文大学", "无名天文大学 "]], "name string")
+    got = {r["name"]: r["entity"] for r in names.resolve_registered(values, registry, "school").collect()}
+    assert {got[x] for x in chain} == {"school:1"} and got["无名天文大学"] == got["无名天文大学 "] == "own:无名天文大学"
+
+
 # quality --------------------------------------------------------------------------------------------------------------
 def test_quality(spark):
     r = random.Random(3)

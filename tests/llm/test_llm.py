@@ -170,6 +170,58 @@ def test_overlap_pairs(spark):
     assert rep[("dev", "a")] == 3
 
 
+def test_overlap_against_brute_force(spark, monkeypatch):
+    """Every pair a comparison of all texts finds, whatever the shards, their division and the bits of the filter."""
+    r = random.Random(5)
+    stock = [c + "。" for i in range(12) for c in long_text(100 + i, 4).split("。") if c]
+    hot = stock[:3]  # sentences a third of all texts have
+    texts = []
+    for i in range(60):
+        t = r.sample(stock, 4) + (hot if i % 3 == 0 else [])
+        r.shuffle(t)
+        texts.append("".join(t))
+    for i in range(40):
+        t = list(r.choice(texts))
+        for _ in range(r.randint(0, 12)):
+            t[r.randrange(len(t))] = r.choice("变更错漏")
+        texts.append("".join(t))
+    texts += [EN.replace("brand", "band"), EN, "".join(c for c in EN if c.isalpha())[:44] + " . . .", "".join(c for c in EN if c.isalpha())[:44] + "?"]
+    rows = [(i, t, "train" if i % 2 else r.choice(["dev", "test_hard"]), "s") for i, t in enumerate(texts)]
+    p = spark.createDataFrame(rows, "row_id long, text string, split string, source string")
+    v = spark.createDataFrame([], "row_id long, variant_text string, split string, source string")
+    norm = {i: overlap.plain(overlap.marked(t)) for i, t, *_ in rows}
+
+    def whole(t, e):
+        """The share of the distinct passages of e, by weight, that are in t."""
+        ps = {}
+        for k, n, w in overlap.passages(overlap.marked(texts[e])):
+            ps.setdefault(norm[e][k : k + n], w)
+        return sum(w for p, w in ps.items() if p in norm[t]) / max(1, sum(ps.values()))
+
+    want, more = set(), set()
+    for i, *_ in rows:
+        for j, *_ in rows:
+            if i % 2 and not j % 2:
+                x, y = sorted((norm[i], norm[j]), key=len, reverse=True)
+                if len(y) >= overlap.SHARE * len(x) and overlap.covered(x, y) >= overlap.SHARE and (len(x) > len(y) or overlap.covered(y, x) >= overlap.SHARE):
+                    (want if norm[i] == norm[j] or whole(i, j) >= overlap.LEAST else more).add((min(i, j), max(i, j)))
+    for shard, chunk, bits in ((500_000, 8_000_000, 30), (900, 2_000, 30), (900, 2_000, 3)):
+        monkeypatch.setattr(overlap, "SHARD", shard)
+        monkeypatch.setattr(overlap, "CHUNK", chunk)
+        monkeypatch.setattr(overlap, "MOST_BITS", max(bits, 12))
+        got = [tuple(x) for x in overlap.found(p, v).collect()]
+        assert len(got) == len(set(got)) and want <= set(got) <= want | more
+    assert len(want) > 20 and len(more) < 0.25 * len(want)
+
+
+def test_passages_tile_the_text():
+    for t in (long_text(6), EN, EN[:44], "短。" * 30, long_text(7) + EN, "a" * 41, "…" * 50):
+        m = overlap.marked(t)
+        norm, tiles = overlap.plain(m), overlap.passages(m)
+        assert sum(w for *_, w in tiles) >= 0.75 * len(norm) or len(norm) < 12
+        assert all(0 <= i and i + n <= len(norm) and n in overlap.LENGTHS for i, n, _ in tiles)
+
+
 def test_coverage_measure():
     a = long_text(4)
     assert overlap.covered(a, a) == 1.0 and overlap.covered(a, long_text(5)) < 0.75

@@ -2,12 +2,13 @@
 
 Every text gets counts and ratios; for each language the mean and covariance of prose are estimated robustly over all
 rows (medians first, then concentration steps that keep the rows close to the current estimate); the squared Mahalanobis
-distance says how far a text is from prose and splits into one contribution per statistic. Far texts are told apart as
-list, table or junk by the statistics that put them there.
+distance says how far a text is from prose and splits into one contribution per statistic. A text from FAR on is no prose: a
+table or a list if the statistics of cells or of items put it there, junk if others did.
 
 Defined results: null, empty and blank texts have zero counts, no distance and no kind; headings and one-line captions
 have no kind; text damaged by scanning or by a wrong encoding is judged as the prose it was; a tie between kinds goes to
-table, then list, then junk; a language with fewer rows than statistics falls back to the estimate over all rows.
+table, then list, then junk; texts of no known language, and languages of few rows, are measured by the most frequent
+language of their script.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scriptorium.llm import language
 from scriptorium.llm.encoding import LOST, NARROW, repair, suspicious
 from scriptorium.llm.lm import PairModel, joined, kept, pair_table, spread
 from scriptorium.runtime import cut
@@ -33,12 +35,15 @@ EN_COMMON = frozenset(
 MARK = re.compile(r"(?m)^[ \t]*(?:[-*•●○◆■·▪‣–]\s|\[?\d{1,3}(?:\.\d{1,2})*[\].、)）]?\s|[(（]\d{1,2}[)）]|[①-⑳]|[a-zA-Z][.)]\s|[一二三四五六七八九十]{1,3}、)|(?<=\s)(?:[(（]\d{1,2}[)）]|[①-⑳])")
 ENDS = "。！？.!?；;…”\"』」）)]】"
 #: Statistics that enter the distance, in order.
-STATS = ("common", "letters", "digits", "symbols", "ends", "punct", "spaces", "distinct", "marks", "lines")
+STATS = ("words", "word_length", "common", "letters", "digits", "symbols", "ends", "punct", "spaces", "distinct", "marks", "lines", "cells", "items", "runs", "odd")
 N = len(STATS)
-#: Squared distance (in units of the number of statistics) from which a text may be no prose, if its form says so too.
-FAR = 1.2
-#: The same for texts nothing but their distance speaks against.
-FAR_JUNK = 12.0
+#: Squared distance (in units of the number of statistics) from which a text is no prose.
+FAR = 2.4
+#: Statistics of form, by the kind they speak for, and the share of the distance they must contribute, and at least 0.7 of what the lack of common words does; all others speak for junk.
+FORMS = {"table": ("cells",), "list": ("marks", "items")}
+FORM_SHARE = 0.125
+#: Rows a language needs for an estimate of its own.
+LEAST_ROWS = 200
 _CLASS: np.ndarray | None = None
 
 
@@ -90,8 +95,47 @@ def _line_share(t: str) -> float:
     return ended / total if total else 1.0
 
 
+SEPARATED = re.compile(r"[\s|,，：:]+")
+NUMBER = re.compile(r"[-+−]?\d{1,7}(?:[.,]\d+)*[%％]?|[-—–/]")
+ITEMS = re.compile(r"[；;、/|·•]\s*|\s{2,}|[\r\n]+|\s+(?=[(（]\d{1,2}[)）]|[①-⑳])")
+LATIN_ITEMS = re.compile(r"[;/|·•]\s+|\s{2,}|[\r\n]+|\s+(?=[(（]\d{1,2}[)）])")
+LEADER = re.compile(r"[.…·]{4,}\s*\d+")
+SENTENCE = re.compile(r"[。！？!?，]|[.,](?=\s|$)")
+RUN, ODD = re.compile(r"\d{4,}"), re.compile(r"[A-Za-z0-9+/=&;<>{}]{18,}")
+ANCHORS = {k: frozenset(v.split()) for k, v in language.ANCHORS.items()}
+
+
+def cells(t: str) -> float:
+    """The share of numbers of a table among the tokens, where words stand beside them."""
+    tokens = [x for x in SEPARATED.split(t) if x and not set(x) <= set("-:|")]
+    numbers = sum(NUMBER.fullmatch(x) is not None for x in tokens)
+    if numbers < 4 or sum(len(x) <= 14 and any(map(str.isalpha, x)) for x in tokens) < 2:
+        return 0.0
+    return numbers / len(tokens)
+
+
+def items(t: str, latin: bool) -> float:
+    """The share of the text in short items without a sentence, between the separators of a list."""
+    parts = [x for x in (LATIN_ITEMS if latin else ITEMS).split(t) if x.strip()]
+    if len(parts) < 3:
+        return 0.0
+    good = 0
+    for x in parts:
+        body = LEADER.sub("", MARK.sub("", x, count=1)).strip()
+        letters = sum(map(str.isalpha, body))
+        if 2 <= letters and len(body) <= min(2 * letters, 84 if latin else 32) and not SENTENCE.search(body):
+            good += len(x)
+    return good / sum(map(len, parts))
+
+
+def is_heading(t: str) -> bool:
+    """One short line of words, whatever numbers it begins with: a heading or a caption."""
+    s = re.sub(r"^[#\s]*(?:\d+(?:\.\d+)*[.、]?\s)?", "", t.strip())
+    return 0 < len(s) < 42 and not re.search(r"[\r\n]", s) and sum(map(str.isalpha, s)) >= 0.6 * sum(not c.isspace() for c in s)
+
+
 def measure(texts: list[str | None]) -> dict[str, np.ndarray]:
-    """All statistics of a batch, by one pass over its code points."""
+    """All statistics of a batch, most of them by one pass over its code points."""
     a, starts = joined(texts)
     n = len(texts)
     cls = classes()[np.minimum(a, 65535)]
@@ -102,50 +146,67 @@ def measure(texts: list[str | None]) -> dict[str, np.ndarray]:
     cjk = counts[:, 1] + counts[:, 11]
     latin, kana, other = counts[:, 3], counts[:, 2], counts[:, 4]
     dense = np.maximum(chars - counts[:, 6] - counts[:, 7], 1)
-    zh = (cjk + kana) * 3 >= latin
-    common = np.where(zh, counts[:, 11] / np.maximum(cjk, 1), 0.0)
-    words = np.zeros(n, np.int64)
-    wlen = np.zeros(n)
-    distinct = np.zeros(n)
-    marks = np.zeros(n)
+    wide = (cjk + kana) * 3 >= latin + other
+    lang = np.where(wide, np.where(kana * 8 >= cjk + kana, "ja", "zh"), "").astype(object)
+    lang[wide & (cjk + kana == 0)] = "zh"
+    common = np.where(wide, counts[:, 11] / np.maximum(cjk, 1), 0.0)
+    words, wlen, distinct, marks, table, listed, runs, odd = (np.zeros(n) for _ in range(8))
     lines = np.ones(n)
+    heading = np.zeros(n, bool)
     nlines = counts[:, 7] + 1
     for i, t in enumerate(texts):
         if not t:
             continue
-        if not zh[i]:
+        if not wide[i]:
             w = re.findall(r"[^\W\d_]+", t.lower())
             words[i] = len(w)
             if w:
-                common[i] = sum(x in EN_COMMON for x in w) / len(w)
+                votes = {k: sum(map(v.__contains__, w)) for k, v in ANCHORS.items()}
+                best = max(votes, key=votes.__getitem__)
+                lang[i] = best if votes[best] >= 2 else ""
+                common[i] = sum(map((EN_COMMON if lang[i] in ("en", "") else ANCHORS[lang[i]]).__contains__, w)) / len(w)
                 wlen[i] = sum(map(len, w)) / len(w)
         distinct[i] = len(set(t))
         if counts[i, 7] or counts[i, 6] > 2:
             marks[i] = sum(1 for _ in MARK.finditer(t))
         lines[i] = _line_share(t) if counts[i, 7] else (1.0 if t.rstrip()[-1:] in ENDS else 0.0)
-    words = np.where(zh, cjk + kana + latin // 5, words)
-    wlen = np.where(zh, 1.0, wlen)
+        if counts[i, 5] >= 4:
+            table[i] = cells(t)
+            runs[i] = sum(map(len, RUN.findall(t)))
+        listed[i] = items(t, not wide[i])
+        if latin[i] >= 6:
+            odd[i] = sum(map(len, ODD.findall(t)))
+        heading[i] = chars[i] < 64 and is_heading(t)
+    words = np.where(wide, cjk + kana + latin // 5, words)
+    wlen = np.where(wide, 1.0, wlen)
     m = np.maximum(chars, 1)
     return {
-        "n_chars": chars, "n_words": words, "n_lines": np.where(chars > 0, nlines, 0), "mean_word_length": wlen, "cjk_ratio": cjk / m, "zh": zh,
-        "common": common, "letters": (cjk + latin + kana + other) / dense, "digits": counts[:, 5] / dense, "symbols": counts[:, 0] / dense,
+        "n_chars": chars, "n_words": words, "n_lines": np.where(chars > 0, nlines, 0), "mean_word_length": wlen, "cjk_ratio": cjk / m, "lang": lang, "wide": wide, "heading": heading,
+        "words": np.log1p(words), "word_length": wlen, "common": common, "letters": (cjk + latin + kana + other) / dense, "digits": counts[:, 5] / dense, "symbols": counts[:, 0] / dense,
         "ends": np.log((counts[:, 8] + 0.3) / (dense + 10.0) * 60), "punct": counts[:, 9] / dense, "spaces": (counts[:, 6] + counts[:, 7]) / m,
-        "distinct": distinct / np.power(m, 0.6), "marks": marks / np.maximum(nlines, 1), "lines": lines,
+        "distinct": distinct / np.power(m, 0.6), "marks": np.minimum(marks / np.maximum(nlines, 1), 1.0), "lines": lines, "cells": table, "items": listed, "runs": runs / m, "odd": odd / m,
     }
 
 
-SCHEMA = "id {kind}, lang string, n_chars int, n_words int, n_lines int, mean_word_length double, cjk_ratio double, " + ", ".join(f"{s} double" for s in STATS)
+SCHEMA = "id {kind}, lang string, wide boolean, heading boolean, n_chars int, n_words int, n_lines int, mean_word_length double, cjk_ratio double, " + ", ".join(f"{s} double" for s in STATS)
+
+
+COUNTS = ("n_chars", "n_words", "n_lines")
 
 
-def _measured(kind: str):
+def _measured(kind: str, with_text: bool = False):
     idt = pa.int64() if kind == "bigint" else pa.string()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             m = measure(b.column(1).to_pylist())
-            cols = [b.column(0).cast(idt), pa.array(np.where(m["zh"], "zh", "latin").tolist()), *(pa.array(m[k].astype(np.int32)) for k in ("n_chars", "n_words", "n_lines")),
+            cols = [b.column(0).cast(idt), pa.array(m["lang"].tolist(), pa.string()), pa.array(m["wide"]), pa.array(m["heading"]), *(pa.array(m[k].astype(np.int32)) for k in COUNTS),
                     *(pa.array(m[k].astype(np.float64)) for k in ("mean_word_length", "cjk_ratio", *STATS))]
-            yield pa.RecordBatch.from_arrays(cols, names=["id", "lang", "n_chars", "n_words", "n_lines", "mean_word_length", "cjk_ratio", *STATS])
+            names = ["id", "lang", "wide", "heading", *COUNTS, "mean_word_length", "cjk_ratio", *STATS]
+            if with_text:
+                cols.append(b.column(1))
+                names.append("text")
+            yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return run
 
@@ -157,10 +218,16 @@ def statistics(paragraphs: DataFrame, id_col: str = "row_id", text_col: str = "t
     return rows.mapInArrow(_measured(kind), SCHEMA.format(kind=kind)).withColumnRenamed("id", id_col)
 
 
-def prose(stats: DataFrame, steps: int = 2) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Per language the robust mean and inverse covariance of prose: aggregates over all rows, a few numbers each."""
-    body = stats.where("n_chars >= 60")
-    med = body.groupBy("lang").agg(*(F.percentile_approx(s, [0.25, 0.5, 0.75], 2000).alias(s) for s in STATS), F.count("*").alias("n")).collect()
+def prose(stats: DataFrame, steps: int = 3) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Per language the robust mean and inverse covariance of prose: aggregates over all rows but blank ones and headings, a few numbers each.
+
+    The keys "wide" and "narrow" stand for the most frequent language of either script.
+    """
+    body = stats.where("n_chars > 0 AND NOT heading AND lang <> ''")
+    med = body.groupBy("lang").agg(*(F.percentile_approx(s, [0.25, 0.5, 0.75], 2000).alias(s) for s in STATS), F.count("*").alias("n"), F.max("wide").alias("wide")).where(F.col("n") >= LEAST_ROWS).collect()
+    if not med:  # few rows altogether
+        body = stats.where("n_chars > 0 AND NOT heading").withColumn("lang", F.when(F.col("wide"), "zh").otherwise("en"))
+        med = body.groupBy("lang").agg(*(F.percentile_approx(s, [0.25, 0.5, 0.75], 2000).alias(s) for s in STATS), F.count("*").alias("n"), F.max("wide").alias("wide")).collect()
     out: dict[str, tuple[np.ndarray, np.ndarray]] = {}
     keep = F.lit(False)
     for r in med:
@@ -174,73 +241,50 @@ def prose(stats: DataFrame, steps: int = 2) -> dict[str, tuple[np.ndarray, np.nd
         rows = body.where(keep).groupBy("lang").agg(F.count("*").alias("n"), *sums).collect()
         keep = F.lit(False)
         for r in rows:
-            if r["n"] <= 3 * N:
+            if r["n"] <= N:
                 continue
             mu = np.array([r[f"m{i}"] for i in range(N)]) / r["n"]
             cov = np.array([[r[f"c{min(i, j)}_{max(i, j)}"] for j in range(N)] for i in range(N)]) / r["n"] - np.outer(mu, mu)
             # a floor for statistics that prose hardly varies in
-            inv = np.linalg.inv(cov + np.diag(np.array(RIDGE)))
+            inv = np.linalg.inv(cov + np.diag([RIDGE[s] for s in STATS]))
             out[r["lang"]] = (mu, inv)
             d2 = sum(float(inv[i, j]) * (2 if i < j else 1) * (F.col(STATS[i]) - float(mu[i])) * (F.col(STATS[j]) - float(mu[j])) for i in range(N) for j in range(i, N))
             keep = keep | ((F.col("lang") == r["lang"]) & (d2 <= 2.5 * N))
+    for script, wide in (("wide", True), ("narrow", False)):
+        own = [r for r in med if r["wide"] == wide and r["lang"] in out] or [r for r in med if r["lang"] in out]
+        if own:
+            out[script] = out[max(own, key=lambda r: (r["n"], r["lang"]))["lang"]]
     return out
 
 
-#: Least variance of each statistic, in the order of STATS.
-RIDGE = (0.004, 0.003, 0.002, 0.0008, 0.25, 0.002, 0.003, 0.06, 0.02, 0.09)
+#: Least variance of each statistic.
+RIDGE = {
+    "words": 0.1, "word_length": 0.2, "common": 0.0005, "letters": 0.003, "digits": 0.003, "symbols": 0.0008, "ends": 0.25, "punct": 0.002, "spaces": 0.003,
+    "distinct": 0.06, "marks": 0.02, "lines": 0.09, "cells": 0.006, "items": 0.012, "runs": 0.002, "odd": 0.002,
+}
 
 
 def distances(m: dict[str, np.ndarray], fit: dict[str, tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """Squared distance over N, and the contributions whose sum it is."""
-    x = np.stack([m[s] for s in STATS], 1)
+    x = np.stack([np.asarray(m[s], float) for s in STATS], 1)
+    lang, wide = np.asarray(m["lang"], object), np.asarray(m["wide"], bool)
     c = np.zeros_like(x)
-    some = next(iter(fit.values())) if fit else (np.zeros(N), np.eye(N))
-    for lang, sel in (("zh", m["zh"]), ("latin", ~m["zh"])):
-        mu, inv = fit.get(lang, some)
-        d = x[sel] - mu
-        c[sel] = d * (d @ inv) / N
+    key = np.array([k if k in fit else "wide" if w else "narrow" for k, w in zip(lang, wide)], object)
+    for k in set(key.tolist()):
+        if k in fit:
+            mu, inv = fit[k]
+            sel = key == k
+            d = x[sel] - mu
+            c[sel] = d * (d @ inv) / N
     return c.sum(1), c
 
 
-NUMBER = re.compile(r"[-+−]?\d[\d,]*(?:\.\d+)?[%％]?")
-CELL = re.compile(r"[-+−]?\d[\d,]*(?:\.\d+)?[%％]?|[-—–/]")
-SEPARATED = re.compile(r"[\s|,，：:]+")
-ITEMS = re.compile(r"[；;、/|·•]\s*|\s{2,}|[\r\n]+")
-LATIN_ITEMS = re.compile(r"[;/|·•]\s+|\s{2,}|[\r\n]+")
-
-
-def kind_of(t: str, contrib: dict[str, float], distance: float, common: float, words: int) -> str | None:
-    """What a text far from prose is: None if it is a heading, a caption or no case after all."""
-    s = t.strip()
-    lines = [x.strip() for x in re.split(r"[\r\n]+", s) if x.strip()]
-    solid = max(1, sum(not c.isspace() for c in s))
-    letters = sum(c.isalpha() for c in s)
-    if len(lines) == 1 and len(s) < 42 and letters >= 0.6 * solid:
-        return None
-    tokens = [x for x in SEPARATED.split(s) if x and not set(x) <= set("-:|")] or [""]
-    numbers = sum(bool(NUMBER.fullmatch(x)) for x in tokens)
-    cells = sum(bool(CELL.fullmatch(x)) for x in tokens)
-    texts = sum(any(c.isalpha() for c in x) for x in tokens)
-    longest = max((len(x) for x in tokens if x.isdigit()), default=0)
-    ruled = "---" in s and s.count("|") > 5
-    if texts >= 2 and longest < 8 and ((numbers >= 4 and cells >= 0.3 * len(tokens) and cells + texts >= 0.8 * len(tokens)) or (ruled and cells + texts >= 0.6 * len(tokens))):
-        return "table"
-    ended = sum(x[-1:] in "。！？" for x in lines)
-    marks = len(MARK.findall(s))
-    if len(re.findall(r"[.…·]{4,}\s*\d+", s)) >= 2:
-        return "list"
-    if marks >= 3 and letters >= 0.25 * solid and marks >= 0.6 * len(lines) and ended <= 0.4 * len(lines):
-        return "list"
-    latin = letters and sum(c.isascii() and c.isalpha() for c in s) > 0.5 * letters
-    bare = latin and words >= 6 and common < 0.08
-    if letters >= 0.75 * solid and "。" not in s:
-        items = [x for x in (LATIN_ITEMS if latin else ITEMS).split(s) if x.strip()]
-        if len(items) >= 4 and not any(c in x for x in items for c in "，,。！？") and max(map(len, items)) <= (80 if latin else 30):
-            if not latin or (not bare and sum(len(x.split()) >= 2 for x in items) >= 0.8 * len(items)):
-                return "list"
-    if bare or max(map(len, tokens)) >= 40 and latin or distance > FAR_JUNK:
-        return "junk"
-    return None
+def kind_of(contributions: np.ndarray) -> str:
+    """What a text far from prose is, by the statistics that put it there."""
+    by = dict(zip(STATS, np.maximum(contributions, 0.0)))
+    score = {k: sum(by[s] for s in names) for k, names in FORMS.items()}
+    best = max(score, key=score.__getitem__)
+    return best if score[best] >= max(FORM_SHARE * float(contributions.sum()), 0.7 * by["common"]) else "junk"
 
 
 def judge(
@@ -248,45 +292,45 @@ def judge(
 ) -> DataFrame:
     """(id, kind, distance, contributions): every record far from prose, with what each statistic adds to its distance.
 
-    A first pass measures all rows, aggregates of a few numbers fit the prose of each language, a second pass scores every row; texts that are
+    One pass measures all rows, aggregates of a few numbers fit the prose of each language, and what was measured is set against the fit; texts that are
     far are read as they were before any wrong decoding. No row is shuffled.
     """
     spark = paragraphs.sparkSession
     rows = paragraphs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     idt = pa.int64() if kind == "bigint" else pa.string()
-    stats = cut(rows.mapInArrow(_measured(kind), SCHEMA.format(kind=kind)).select("lang", "n_chars", *(F.col(s).cast("float").alias(s) for s in STATS)), "stats")
-    fit = prose(stats)
+    stats = cut(rows.mapInArrow(_measured(kind, True), SCHEMA.format(kind=kind) + ", text string").select("id", "text", "lang", "wide", "heading", "n_chars", *STATS), "stats")
+    fit = prose(stats.drop("id", "text"))
     b = model or spread(spark, pair_table(paragraphs, text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pm = kept(PairModel, b)
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            m = measure(texts)
+            m = {s: batch.column(4 + k).to_numpy(zero_copy_only=False) for k, s in enumerate(STATS)}
+            m |= {"lang": batch.column(2).to_pylist(), "wide": batch.column(3).to_pylist()}
             dist, con = distances(m, fit)
+            batch = batch.take(pa.array(np.nonzero(dist >= far)[0]))
+            dist, con = dist[dist >= far], con[dist >= far]
+            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             out = []
-            far_rows = [i for i in np.nonzero(dist > far)[0] if texts[i] and texts[i].strip()]
-            a, starts = joined([texts[i] for i in far_rows])
+            a, starts = joined(texts)
             hot = suspicious(a, starts, pm)
-            for j, i in enumerate(far_rows):
-                t = texts[i]
-                d, c, common, words = dist[i], con[i], m["common"][i], m["n_words"][i]
-                if j in hot or NARROW.search(t) or LOST.search(t):
-                    fixed, n, names = repair(t, pm, hot.get(j, []))
+            for i, t in enumerate(texts):
+                d, c = dist[i], con[i]
+                if i in hot or NARROW.search(t) or LOST.search(t):
+                    fixed, n, names = repair(t, pm, hot.get(i, []))
                     if n:
                         if LOST.search(fixed):
                             continue  # damage that can't be undone says nothing of the text
                         mm = measure([fixed])
                         dd, cc = distances(mm, fit)
-                        d, c, t, common, words = dd[0], cc[0], fixed, mm["common"][0], mm["n_words"][0]
-                        if d <= far:
+                        d, c = dd[0], cc[0]
+                        if d < far or mm["heading"][0]:
                             continue
-                k = kind_of(t, dict(zip(STATS, c)), d, common, words)
-                if k:
-                    out.append((ids[i], k, float(d), [float(v) for v in c]))
+                out.append((ids[i], kind_of(c), float(d), [float(v) for v in c]))
             cols = list(zip(*out)) if out else [[], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], idt), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.list_(pa.float64()))], names=["id", "kind", "distance", "contributions"])
 
-    out = rows.mapInArrow(run, f"id {kind}, kind string, distance double, contributions array<double>")
+    some = stats.where("NOT heading AND text RLIKE '\\\\S'").select("id", "text", "lang", "wide", *STATS)
+    out = some.mapInArrow(run, f"id {kind}, kind string, distance double, contributions array<double>")
     return out.select(F.col("id").alias(id_col), "kind", "distance", F.map_from_arrays(F.array(*(F.lit(s) for s in STATS)), "contributions").alias("contributions"))

@@ -271,11 +271,27 @@ def test_quality(spark):
     assert got == {1001: "list", 1002: "table", 1003: "junk"}
     row = quality.judge(df).where("row_id = 1003").collect()[0]
     assert abs(sum(row["contributions"].values()) - row["distance"]) < 1e-6
+    assert quality.judge(df, far=1e9).count() == 0  # nothing but the distance finds them
+    assert max(row["contributions"], key=row["contributions"].get) == "symbols"
     assert quality.judge(df.limit(0)).count() == 0
     s = {x["row_id"]: x for x in quality.statistics(df).collect()}
     assert s[1004]["n_chars"] == 0 and s[1005]["n_chars"] == 0 and s[1001]["n_lines"] == 5 and len(s) == len(prose + odd)
 
 
+def test_prose_is_estimated_for_each_language(spark):
+    r = random.Random(4)
+    de = "Die Ergebnisse zeigen, dass die Kosten nicht mit der Dauer der Verträge steigen und sich für das Haus lohnen. "
+    texts = ["".join(r.sample([x + ". " for x in EN.split(". ") if x.strip()] * 3, 3)) + f"It was seen in {i} of the cases." for i in range(260)] + [de * 2 + f"Das war in {i} Fällen der Fall." for i in range(240)]
+    texts += ["".join(r.sample([s + "。" for s in ZH.split("。") if s], 3)) for _ in range(300)]
+    texts += ["qwk zrtp lkjw oqpq rtkk ljhg wqpo zzrk tqpl kkjh " * 2, "- brand awareness / cost\n- market reach / price\n- family firms / rating\n- open stock / supply\n- long leases / rent"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "row_id long, text string")
+    fit = quality.prose(quality.statistics(df).withColumnRenamed("row_id", "id"))
+    assert {"en", "de", "zh", "wide", "narrow"} <= set(fit)
+    assert abs(fit["de"][0][quality.STATS.index("word_length")] - fit["en"][0][quality.STATS.index("word_length")]) > 0.1
+    got = {x["row_id"]: x for x in quality.judge(df).collect()}
+    assert {k: x["kind"] for k, x in got.items()} == {800: "junk", 801: "list"}
+
+
 # pairs ----------------------------------------------------------------------------------------------------------------
 def test_suffix_automaton():
     r = random.Random(4)

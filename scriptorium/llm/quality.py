@@ -39,7 +39,7 @@ STATS = ("words", "word_length", "common", "letters", "digits", "symbols", "ends
 N = len(STATS)
 #: Squared distance (in units of the number of statistics) from which a text is no prose.
 FAR = 2.4
-#: Statistics of form, by the kind they speak for, and the share of the distance they must contribute, and at least 0.7 of what the lack of common words does; all others speak for junk.
+#: Statistics of form, by the kind they speak for, and the share of the distance they must contribute, and at least half of what symbols do and, where no marks stand before items, 0.7 of what the lack of common words does; all others speak for junk.
 FORMS = {"table": ("cells",), "list": ("marks", "items")}
 FORM_SHARE = 0.125
 #: Rows a language needs for an estimate of its own.
@@ -102,7 +102,10 @@ LATIN_ITEMS = re.compile(r"[;/|·•]\s+|\s{2,}|[\r\n]+|\s+(?=[(（]\d{1,2}[)）
 LEADER = re.compile(r"[.…·]{4,}\s*\d+")
 SENTENCE = re.compile(r"[。！？!?，]|[.,](?=\s|$)")
 RUN, ODD = re.compile(r"\d{4,}"), re.compile(r"[A-Za-z0-9+/=&;<>{}]{18,}")
-ANCHORS = {k: frozenset(v.split()) for k, v in language.ANCHORS.items()}
+#: Function words by language; single letters are no votes, for random characters have them too.
+ANCHORS = {k: frozenset(w for w in v.split() if len(w) > 1) for k, v in language.ANCHORS.items()}
+#: Votes a language needs, and the share of a text's words they must be.
+VOTES, VOTE_SHARE = 2, 0.08
 
 
 def cells(t: str) -> float:
@@ -163,7 +166,7 @@ def measure(texts: list[str | None]) -> dict[str, np.ndarray]:
             if w:
                 votes = {k: sum(map(v.__contains__, w)) for k, v in ANCHORS.items()}
                 best = max(votes, key=votes.__getitem__)
-                lang[i] = best if votes[best] >= 2 else ""
+                lang[i] = best if votes[best] >= max(VOTES, VOTE_SHARE * len(w)) else ""
                 common[i] = sum(map((EN_COMMON if lang[i] in ("en", "") else ANCHORS[lang[i]]).__contains__, w)) / len(w)
                 wlen[i] = sum(map(len, w)) / len(w)
         distinct[i] = len(set(t))
@@ -218,6 +221,42 @@ def statistics(paragraphs: DataFrame, id_col: str = "row_id", text_col: str = "t
     return rows.mapInArrow(_measured(kind), SCHEMA.format(kind=kind)).withColumnRenamed("id", id_col)
 
 
+def _refit(body: DataFrame, fit: dict, box: dict) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """One concentration step: mean and inverse covariance of the rows near the last fit, or of those in a box around the medians; partial sums are added up by Spark."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, np.ndarray] = {}
+        for b in batches:
+            x = np.stack([b.column(k + 1).to_numpy(zero_copy_only=False) for k in range(N)], 1)
+            langs = np.array(b.column(0).to_pylist(), object)
+            for k in fit or box:
+                own = x[langs == k]
+                if fit:
+                    d = own - fit[k][0]
+                    own = own[(d * (d @ fit[k][1])).sum(1) <= 2.5 * N]
+                else:
+                    lo, mid, hi = box[k].T
+                    own = own[(np.abs(own - mid) <= 4 * np.maximum(hi - lo, 0.02)).all(1)]
+                one = np.hstack([own, np.ones((len(own), 1))])
+                sums[k] = sums.get(k, 0.0) + one.T @ one
+        for k, v in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k] * v.size), pa.array(np.arange(v.size, dtype=np.int32)), pa.array(v.ravel())], names=["lang", "i", "v"])
+
+    rows = body.select("lang", *STATS).mapInArrow(run, "lang string, i int, v double").groupBy("lang", "i").agg(F.sum("v").alias("v")).collect()
+    out = {}
+    for k in {r["lang"] for r in rows}:
+        m = np.zeros((N + 1) ** 2)
+        for r in rows:
+            if r["lang"] == k:
+                m[r["i"]] = r["v"]
+        m = m.reshape(N + 1, N + 1)
+        if m[N, N] > N:
+            mu = m[N, :N] / m[N, N]
+            # a floor for statistics that prose hardly varies in
+            out[k] = mu, np.linalg.inv(m[:N, :N] / m[N, N] - np.outer(mu, mu) + np.diag([RIDGE[s] for s in STATS]))
+    return out
+
+
 def prose(stats: DataFrame, steps: int = 3) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     """Per language the robust mean and inverse covariance of prose: aggregates over all rows but blank ones and headings, a few numbers each.
 
@@ -229,27 +268,9 @@ def prose(stats: DataFrame, steps: int = 3) -> dict[str, tuple[np.ndarray, np.nd
         body = stats.where("n_chars > 0 AND NOT heading").withColumn("lang", F.when(F.col("wide"), "zh").otherwise("en"))
         med = body.groupBy("lang").agg(*(F.percentile_approx(s, [0.25, 0.5, 0.75], 2000).alias(s) for s in STATS), F.count("*").alias("n"), F.max("wide").alias("wide")).collect()
     out: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-    keep = F.lit(False)
-    for r in med:
-        near = F.col("lang") == r["lang"]
-        for s in STATS:
-            lo, mid, hi = r[s]
-            near = near & (F.abs(F.col(s) - mid) <= 4 * max(hi - lo, 0.02))
-        keep = keep | near
+    box = {r["lang"]: np.array([r[s] for s in STATS]) for r in med}
     for _ in range(steps):
-        sums = [F.sum(s).alias(f"m{i}") for i, s in enumerate(STATS)] + [F.sum(F.col(s) * F.col(t)).alias(f"c{i}_{j}") for i, s in enumerate(STATS) for j, t in enumerate(STATS) if i <= j]
-        rows = body.where(keep).groupBy("lang").agg(F.count("*").alias("n"), *sums).collect()
-        keep = F.lit(False)
-        for r in rows:
-            if r["n"] <= N:
-                continue
-            mu = np.array([r[f"m{i}"] for i in range(N)]) / r["n"]
-            cov = np.array([[r[f"c{min(i, j)}_{max(i, j)}"] for j in range(N)] for i in range(N)]) / r["n"] - np.outer(mu, mu)
-            # a floor for statistics that prose hardly varies in
-            inv = np.linalg.inv(cov + np.diag([RIDGE[s] for s in STATS]))
-            out[r["lang"]] = (mu, inv)
-            d2 = sum(float(inv[i, j]) * (2 if i < j else 1) * (F.col(STATS[i]) - float(mu[i])) * (F.col(STATS[j]) - float(mu[j])) for i in range(N) for j in range(i, N))
-            keep = keep | ((F.col("lang") == r["lang"]) & (d2 <= 2.5 * N))
+        out = _refit(body, out, box)
     for script, wide in (("wide", True), ("narrow", False)):
         own = [r for r in med if r["wide"] == wide and r["lang"] in out] or [r for r in med if r["lang"] in out]
         if own:
@@ -284,7 +305,9 @@ def kind_of(contributions: np.ndarray) -> str:
     by = dict(zip(STATS, np.maximum(contributions, 0.0)))
     score = {k: sum(by[s] for s in names) for k, names in FORMS.items()}
     best = max(score, key=score.__getitem__)
-    return best if score[best] >= max(FORM_SHARE * float(contributions.sum()), 0.7 * by["common"]) else "junk"
+    least = FORM_SHARE * float(contributions.sum())
+    against = max(0.5 * by["symbols"], 0.0 if by["marks"] >= least else 0.7 * by["common"])
+    return best if score[best] >= max(least, against) else "junk"
 
 
 def judge(

@@ -283,12 +283,13 @@ def test_prose_is_estimated_for_each_language(spark):
     de = "Die Ergebnisse zeigen, dass die Kosten nicht mit der Dauer der Verträge steigen und sich für das Haus lohnen. "
     texts = ["".join(r.sample([x + ". " for x in EN.split(". ") if x.strip()] * 3, 3)) + f"It was seen in {i} of the cases." for i in range(260)] + [de * 2 + f"Das war in {i} Fällen der Fall." for i in range(240)]
     texts += ["".join(r.sample([s + "。" for s in ZH.split("。") if s], 3)) for _ in range(300)]
-    texts += ["qwk zrtp lkjw oqpq rtkk ljhg wqpo zzrk tqpl kkjh " * 2, "- brand awareness / cost\n- market reach / price\n- family firms / rating\n- open stock / supply\n- long leases / rent"]
+    texts += ["qwk zrtp lkjw oqpq rtkk ljhg wqpo zzrk tqpl kkjh " * 2, "- awareness of the brand\n- reach in the market / price\n- family firms and their rating\n- stock of the suppliers\n- long leases and the rent"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "row_id long, text string")
     fit = quality.prose(quality.statistics(df).withColumnRenamed("row_id", "id"))
     assert {"en", "de", "zh", "wide", "narrow"} <= set(fit)
     assert abs(fit["de"][0][quality.STATS.index("word_length")] - fit["en"][0][quality.STATS.index("word_length")]) > 0.1
     got = {x["row_id"]: x for x in quality.judge(df).collect()}
+    assert quality.measure(["y@B}sFO'czgC|V]'Fk~e?hPB~z>or<*Hds`Pm= e y a o"])["lang"][0] == ""
     assert {k: x["kind"] for k, x in got.items()} == {800: "junk", 801: "list"}
 
 

@@ -27,6 +27,16 @@ def count_of(c: Column, pattern: str) -> Column:
     return F.regexp_count(c, F.lit(rx(pattern)))
 
 
+def count_chars(c: Column, cls: str) -> Column:
+    """Characters of a class (written in brackets): what is gone when runs of it are, with no match for each."""
+    return F.length(c) - F.length(F.regexp_replace(c, f"{cls}+", ""))
+
+
+def count_any(c: Column, chars: str) -> Column:
+    """Occurrences of any of a few characters."""
+    return F.length(c) - F.length(F.translate(c, chars, ""))
+
+
 def count_sub(c: Column, word: str) -> Column:
     """Non-overlapping occurrences of a word."""
     return ((F.length(c) - F.length(F.replace(c, F.lit(word), F.lit("")))) / F.lit(len(word))).cast("bigint")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,3 +76,33 @@ def best_model(metric: DataFrame, order: tuple[str, ...] = ("gbdt", "rf", "lr"),
 
 def summary_line() -> Column:
     return F.format_string("%s %s: F1 %.3f, precision %.3f, recall %.3f, uncertain %.1f%%", "model", "split", "f1", "precision", "recall", F.col("uncertain_ratio") * 100)
+
+
+def run(rows: DataFrame, scorers: dict[str, Callable[[DataFrame], DataFrame]], splits: tuple[str, ...] = ("dev", "test", "dev_hard", "test_hard")) -> tuple[DataFrame, DataFrame]:
+    """(results, risks): every metric of each model on each split, and the risk of overfitting of each model.
+
+    rows: features, label, split, difficulty_level; a scorer adds p and pred. What fails on one split, or for one model, is an error in that row only; a
+    split without rows gives none.
+    """
+    spark = rows.sparkSession
+    parts, failed = [], []
+    for model, scorer in scorers.items():
+        for split in splits:
+            try:
+                s = scorer(rows.where(F.col("split") == split)).select(F.lit(model).alias("model"), "split", F.col("difficulty_level").alias("difficulty"), F.col("label").cast("int").alias("y"), "p", "pred")
+                keys = ["model", "split"]
+                one = metrics(s, keys).join(auc(s, keys), keys, "left").join(by_difficulty(s, keys), keys, "left")
+                parts.append(spark.createDataFrame(one.collect(), one.schema))  # one row
+            except Exception as e:
+                failed.append((model, split, f"{type(e).__name__}: {str(e).splitlines()[0] if str(e) else ''}"[:300]))
+    errors = spark.createDataFrame(failed, "model string, split string, error string")
+    if not parts:
+        return errors, spark.createDataFrame([], "model string, gap double, risk string")
+    results = reduce(DataFrame.unionByName, parts).withColumn("error", F.lit(None).cast("string")).unionByName(errors, allowMissingColumns=True)
+    return results, overfit_risk(results.where("error IS NULL"))
+
+
+def summary_text() -> Column:
+    """The lines on one model and split in the summary of an evaluation; figures that there are none of are left out."""
+    line = lambda name, c, f="%.3f", k=1: F.when(F.col(c).isNotNull(), F.format_string(f"    {name}: {f}", F.col(c) * k))
+    return F.concat_ws("\n", F.concat(F.lit("  "), F.col("split"), F.lit(":")), line("F1", "f1"), line("Precision", "precision"), line("Recall", "recall"), line("AUC", "auc"), line("Hard AUC", "hard_auc"), line("Uncertain Ratio", "uncertain_ratio", "%.1f%%", 100), F.lit(""))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.functions import patterns as P
@@ -31,6 +31,9 @@ class Fusion:
             raise ValueError("a threshold lies between 0 and 1")
         self.mode, self.threshold = f"custom_{threshold:.2f}", threshold
 
+    def fuse(self, df: DataFrame) -> DataFrame:
+        return fuse(df, self.threshold)
+
 
 def _first_over(probs: list[Column], limits: list[float]) -> Column:
     """The number (from 1) of the first model over its limit, null if none is."""
@@ -90,10 +93,12 @@ def document_scores(fused: DataFrame, docs: DataFrame | None = None) -> DataFram
 
 
 def paragraph_list(fused: DataFrame, order: str = "para_index", first: int | None = None) -> DataFrame:
-    """(doc_id, paragraphs): the ordered results of a document as an array; reports may show the first ones only."""
+    """(doc_id, paragraphs): the ordered results of a document as an array; reports may show the first ones only, and then no more are gathered."""
+    if first:
+        w = Window.partitionBy("doc_id").orderBy(order)
+        fused = fused.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= first).drop("_rn")
     item = F.struct(F.col(order).alias("paragraph_id"), "is_ai", "confidence", "triggered_by", paragraph_risk(F.col("confidence")).alias("risk_level"))
-    a = F.sort_array(F.collect_list(item))
-    return fused.groupBy("doc_id").agg((F.slice(a, 1, first) if first else a).alias("paragraphs"))
+    return fused.groupBy("doc_id").agg(F.sort_array(F.collect_list(item)).alias("paragraphs"))
 
 
 def document_risk(score: Column) -> Column:
@@ -110,10 +115,11 @@ def document_scores_calibrated(fused: DataFrame, factor: float = P.CALIBRATION)
         "ai_paragraph_count", "total_paragraphs", (F.col("ai_paragraph_count") / F.col("total_paragraphs")).alias("ai_ratio"))
 
 
-def model_descriptors(spark, dims: dict[str, int] | None = None) -> DataFrame:
-    """(model, feature_dim, use_embedding, has_selector)."""
-    dims = dims or {}
-    return spark.createDataFrame([(m, dims.get(m, 0), m.startswith("bert"), not m.startswith("bert")) for m in P.MODELS], "model string, feature_dim int, use_embedding boolean, has_selector boolean")
+def model_descriptors(spark, dims: dict[str, int] | None = None, bundle: dict[str, dict] | None = None) -> DataFrame:
+    """(model, feature_dim, use_embedding, has_selector), of a loaded bundle or by the names of the models."""
+    dims, bundle = dims or {}, bundle or {}
+    rows = [(m, int(bundle.get(m, {}).get("feature_dim", dims.get(m, 0))), bool(bundle.get(m, {}).get("use_embedding", m.startswith("bert"))), bool(bundle.get(m, {}).get("has_selector", not m.startswith("bert")))) for m in P.MODELS]
+    return spark.createDataFrame(rows, "model string, feature_dim int, use_embedding boolean, has_selector boolean")
 
 
 def explain(fused: DataFrame, threshold: float = 0.35) -> Column:
@@ -128,3 +134,12 @@ def explain(fused: DataFrame, threshold: float = 0.35) -> Column:
 def report_line() -> Column:
     """One line on a calibrated document."""
     return F.format_string("%s: %.1f%% %s, %d/%d (%.1f%%)", F.col("doc_id").cast("string"), F.col("doc_calibrated_score") * 100, "risk_level", "ai_paragraph_count", "total_paragraphs", F.col("ai_ratio") * 100)
+
+
+def report_text() -> Column:
+    """The report on a calibrated document with the scale of risks, as it is printed."""
+    rule = "=" * 60
+    return F.concat_ws(
+        "\n", F.lit(rule), F.lit("AIGC检测结果 (CNKI校准版)"), F.lit(rule), F.lit(""), F.format_string("文档级AIGC分数: %.1f%%", F.col("doc_calibrated_score") * 100), F.concat(F.lit("风险等级: "), "risk_level"),
+        F.format_string("AI段落: %d/%d (%.1f%%)", "ai_paragraph_count", "total_paragraphs", F.col("ai_ratio") * 100), F.lit(""), F.lit("说明: 该分数经过CNKI校准，更接近知网AIGC检测的AI特征值"), F.lit(""),
+        F.lit("风险阈值参考:"), F.lit("  - 低风险: <15%"), F.lit("  - 中风险: 15-30%"), F.lit("  - 较高风险: 30-50%"), F.lit("  - 高风险: >50%"), F.lit(rule))

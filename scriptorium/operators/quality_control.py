@@ -6,19 +6,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.functions import patterns as P
-from scriptorium.functions.text import count_of, matches, ratio, strip
+from scriptorium.functions.text import count_chars, matches, ratio, strip
 from scriptorium.operators.cleaning import clean, dirty
 
 ISSUE = "struct<type:string,desc:string,location:string,severity:string>"
 
 
 def chinese_ratio(c: Column) -> Column:
-    return ratio(count_of(c, P.HAN), F.length(strip(c)))
+    return ratio(count_chars(c, P.HAN), F.length(strip(c)))
 
 
 def garbled_ratio(c: Column) -> Column:
     n = F.length(c)
-    return F.when(n > 0, F.lit(1.0) - count_of(c, f"[{P.VALID}]").cast("double") / n.cast("double")).otherwise(F.lit(0.0))
+    return F.when(n > 0, F.lit(1.0) - count_chars(c, f"[{P.VALID}]").cast("double") / n.cast("double")).otherwise(F.lit(0.0))
 
 
 def has_chapters(c: Column) -> Column:

@@ -19,7 +19,7 @@ def split_of_year(year: Column) -> Column:
 
 def documents_by_split(metadata: DataFrame) -> DataFrame:
     """(doc_id, year, split) of documents with an id and a year inside a split."""
-    d = metadata.where((F.col("year") > 0) & (F.coalesce(F.col("doc_id"), F.lit("")) != "")).select("doc_id", "year").distinct()
+    d = metadata.where((F.col("year") > 0) & (F.coalesce(F.col("doc_id").cast("string"), F.lit("")) != "")).select("doc_id", "year").distinct()
     return d.withColumn("split", split_of_year(F.col("year"))).where("split IS NOT NULL")
 
 
@@ -41,26 +41,39 @@ def scored(paragraphs: DataFrame) -> DataFrame:
     return paragraphs.withColumn("score", hardness(F.col("char_count"), F.col("has_citation"), F.col("has_formula"), F.col("chapter_role"), F.col("para_type")))
 
 
-def hard_samples(paragraphs: DataFrame, ratio: float = P.HARD_RATIO, by: str = "split", order: str = "row_id", buckets: int = 64) -> DataFrame:
-    """The input with `score` and `hard`: of each split the share of rows with the highest scores, then at most half of a document's candidates, first come first.
+#: Rows to one bucket of order, and the least number of buckets.
+BUCKET_ROWS, LEAST_BUCKETS = 200_000, 64
+
+
+def ranked(df: DataFrame, by: list[str], order: str, first: str | None = None, out: str = "rank", total: str | None = None) -> DataFrame:
+    """The rank (from 1) of each row within its group by falling `first`, a column of few values, then by the number `order`; `total` is the group's size.
 
-    The rank within a split needs no sort of the split: there are few different scores, so counts per score and hash-free order bucket give each row's offset,
-    and only rows of one score and bucket are sorted together. The cap per document is a window over its candidates alone.
+    No group is sorted as a whole: counts for each value and bucket of the order give a row's offset, and only rows of one value and bucket are sorted
+    together. Buckets keep the order of the numbers, an equal-width grid between the least and the largest, and grow in number with the rows.
     """
-    s = scored(paragraphs)
-    # order buckets keep the order of the ids (numbers): an equal-width grid between the least and the largest id
+    keys = [*by, *([first] if first else [])]
     d = lambda c: F.col(c).cast("double")
-    lim = s.agg(F.min(order).alias("lo"), F.max(order).alias("hi"))
-    s = s.join(F.broadcast(lim)).withColumn("ob", F.when(F.col("hi") > F.col("lo"), F.floor((d(order) - d("lo")) * F.lit(float(buckets)) / (d("hi") - d("lo") + 1.0))).otherwise(0).cast("int")).drop("lo", "hi")  # one row
-    counts = s.groupBy(by, "score", "ob").agg(F.count("*").alias("n"))
-    w = Window.partitionBy(by).orderBy(F.desc("score"), "ob")  # at most scores x buckets rows a split
-    counts = counts.select(by, "score", "ob", (F.sum("n").over(w) - F.col("n")).alias("before"), F.sum("n").over(Window.partitionBy(by)).alias("total"))
-    inner = Window.partitionBy(by, "score", "ob").orderBy(order)
-    r = s.withColumn("rn", F.row_number().over(inner)).join(F.broadcast(counts), [by, "score", "ob"])
-    r = r.withColumn("candidate", F.col("before") + F.col("rn") <= F.floor(F.col("total") * F.lit(ratio)))
-    doc = Window.partitionBy(by, "doc_id", "candidate")
-    r = r.withColumn("dn", F.row_number().over(doc.orderBy(F.desc("score"), order))).withColumn("dc", F.count("*").over(doc))
-    return r.withColumn("hard", F.col("candidate") & ((F.col("dn") - 1) < F.col("dc") * 0.5)).drop("ob", "rn", "before", "total", "candidate", "dn", "dc")
+    lim = df.agg(F.min(order).alias("_lo"), F.max(order).alias("_hi"), F.greatest(F.lit(LEAST_BUCKETS), F.ceil(F.count("*") / F.lit(BUCKET_ROWS))).cast("double").alias("_n"))
+    place = F.floor((d(order) - d("_lo")) * F.col("_n") / (d("_hi") - d("_lo") + 1.0)).cast("int")
+    s = df.join(F.broadcast(lim)).withColumn("_b", F.when(F.col("_hi") > F.col("_lo"), place).otherwise(0)).drop("_lo", "_hi", "_n")  # one row
+    counts = s.groupBy(*keys, "_b").agg(F.count("*").alias("_c"))
+    w = Window.partitionBy(*by).orderBy(*([F.desc(first)] if first else []), "_b")  # at most values x buckets rows a group
+    counts = counts.select(*keys, "_b", (F.sum("_c").over(w) - F.col("_c")).alias("_before"), *([F.sum("_c").over(Window.partitionBy(*by)).alias(total)] if total else []))
+    inner = Window.partitionBy(*keys, "_b").orderBy(order)
+    same = [F.col(f"s.{k}").eqNullSafe(F.col(f"c.{k}")) for k in (*keys, "_b")]
+    r = s.withColumn("_rn", F.row_number().over(inner)).alias("s").join(counts.alias("c"), same)
+    return r.select("s.*", *([f"c.{total}"] if total else []), (F.col("c._before") + F.col("s._rn")).alias(out)).drop("_b", "_rn")
+
+
+def hard_samples(paragraphs: DataFrame, ratio: float = P.HARD_RATIO, by: str = "split", order: str = "row_id") -> DataFrame:
+    """The input with `score` and `hard`: of each split the share of rows with the highest scores, then at most half of a document's candidates, first come first.
+
+    `order` is a number that grows as the documents and their paragraphs come (runtime.numbered makes one).
+    """
+    r = ranked(scored(paragraphs), [by], order, "score", "_rank", "_total").withColumn("_candidate", F.col("_rank") <= F.floor(F.col("_total") * F.lit(ratio)))
+    doc = Window.partitionBy(by, "doc_id", "_candidate")
+    r = r.withColumn("_dn", F.row_number().over(doc.orderBy(F.desc("score"), order))).withColumn("_dc", F.count("*").over(doc))
+    return r.withColumn("hard", F.col("_candidate") & ((F.col("_dn") - 1) < F.col("_dc") * 0.5)).drop("_rank", "_total", "_candidate", "_dn", "_dc")
 
 
 def split_statistics(paragraphs: DataFrame) -> DataFrame:

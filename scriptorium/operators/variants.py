@@ -7,10 +7,11 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.functions import patterns as P
+from scriptorium.operators.splitting import ranked
 
 
 def eligible(paragraphs: DataFrame) -> DataFrame:
@@ -29,13 +30,12 @@ def unprocessed(paragraphs: DataFrame, existing: DataFrame, legacy: bool = False
 def quota(paragraphs: DataFrame, counts: DataFrame, targets: DataFrame, order: str = "row_id") -> DataFrame:
     """For each target the first rows of its split up to what is missing; the limit of length applies after the cut, so fewer may come out.
 
-    targets: split, variant_type, target; counts: split, variant_type, have. Rows are ranked once a split, not once a target.
+    targets: split, variant_type, target; counts: split, variant_type, have. Rows are ranked once a split, not once a target, and no split is sorted as a whole.
     """
     need = targets.join(counts, ["split", "variant_type"], "left").select("split", "variant_type", F.greatest(F.lit(0), F.col("target") - F.coalesce("have", F.lit(0))).alias("need"))
-    most = need.groupBy("split").agg(F.max("need").alias("most"))
-    ranked = paragraphs.withColumn("rn", F.row_number().over(Window.partitionBy("split").orderBy(order)))
-    ranked = ranked.join(F.broadcast(most), "split").where("rn <= most").drop("most")  # one row a split
-    out = ranked.join(F.broadcast(need), "split").where("rn <= need")  # one row a target
+    wanted = need.where("need > 0").select("split").distinct()
+    rows = ranked(paragraphs.join(F.broadcast(wanted), "split", "left_semi"), ["split"], order, out="rn")  # one row a split
+    out = rows.join(F.broadcast(need), "split").where("rn <= need")  # one row a target
     return out.where(F.length("text").between(50, 2000)).drop("need")
 
 
@@ -76,25 +76,28 @@ def offline_client(prompt_text: str, temp: float) -> tuple[bool, str, int]:
     return True, body, 200
 
 
-def generate(jobs: DataFrame, client: Client = offline_client, fallback: Client | None = None) -> DataFrame:
-    """Answers to prompts by a client called in the workers; one retry with the fallback after a failure."""
-    schema = jobs.drop("answer", "ok").schema
-    from pyspark.sql.types import BooleanType, StringType, StructField, StructType
+def http_client(url: str, model: str, key: str | None = None, timeout: float = 120.0, retries: int = 0) -> Client:
+    """A client of a chat-completion service: (True, text, status), or (False, what went wrong, status or 0). The key is sent, never kept in a plan."""
 
-    out = StructType([*schema.fields, StructField("answer", StringType()), StructField("ok", BooleanType())])
+    def call(prompt_text: str, temp: float) -> tuple[bool, str, int]:
+        import json
+        import urllib.error
+        import urllib.request
 
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            answers, oks = [], []
-            for p, t in zip(pdf["prompt"], pdf["temperature"]):
-                ok, text, _ = client(p, t)
-                if not ok and fallback is not None:
-                    ok, text, _ = fallback(p, t)
-                answers.append(text if ok else None)
-                oks.append(ok)
-            yield pdf.assign(answer=answers, ok=oks)
+        body = json.dumps({"model": model, "messages": [{"role": "user", "content": prompt_text}], "temperature": temp}).encode()
+        head = {"Content-Type": "application/json", **({"Authorization": f"Bearer {key}"} if key else {})}
+        out = (False, "no attempt", 0)
+        for _ in range(retries + 1):
+            try:
+                with urllib.request.urlopen(urllib.request.Request(url, body, head), timeout=timeout) as r:
+                    return True, json.loads(r.read())["choices"][0]["message"]["content"].strip(), r.status
+            except urllib.error.HTTPError as e:
+                out = False, f"HTTP {e.code}", e.code
+            except (TimeoutError, OSError, ValueError, KeyError, IndexError) as e:
+                out = False, f"{type(e).__name__}: {e}", 0
+        return out
 
-    return jobs.mapInPandas(run, out)
+    return call
 
 
 @dataclass
@@ -107,8 +110,9 @@ class ErrorPolicy:
     until: dict[str, float] = field(default_factory=dict)
 
     def record(self, provider: str, status: int) -> bool:
-        if status < 400:
-            self.errors[provider] = 0
+        if not 400 <= status < 600:
+            if status == 200:
+                self.errors[provider] = 0
             return False
         self.errors[provider] = self.errors.get(provider, 0) + 1
         return self.errors[provider] >= self.threshold
@@ -125,6 +129,53 @@ def slot_provider(slot: int, providers: tuple[str, ...], started: float, now: fl
     return providers[(slot + int((now - started) // interval)) % len(providers)]
 
 
+ANSWER = "answer string, ok boolean, status int, provider string, error string"
+
+
+def generate(jobs: DataFrame, client: Client = offline_client, fallback: Client | None = None, providers: dict[str, Client] | None = None, slot_col: str | None = None, interval: float = 900.0) -> DataFrame:
+    """The jobs (prompt, temperature) with answer, ok, status, provider and error, by clients called in the workers.
+
+    Each worker keeps the errors of its providers: a slot whose provider failed three times in a row goes to the fallback for nine minutes; every
+    failed call is tried once with the fallback. With several `providers`, slots (values of slot_col) change theirs round robin every interval.
+    """
+    from pyspark.sql.types import StructType, _parse_datatype_string
+
+    jobs = jobs.drop("answer", "ok", "status", "provider", "error")
+    out = StructType([*jobs.schema.fields, *_parse_datatype_string(ANSWER).fields])
+    calls = dict(providers or {"main": client})
+    names = tuple(calls)
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        policy, began = ErrorPolicy(), time.time()
+        slots: dict[str, int] = {}
+        for pdf in it:
+            rows = []
+            for s, p, t in zip(pdf[slot_col] if slot_col else ["main"] * len(pdf), pdf["prompt"], pdf["temperature"]):
+                slot = str(s)
+                name = slot_provider(slots.setdefault(slot, len(slots)), names, began, time.time(), interval)
+                if fallback is not None and policy.active(slot):
+                    ok, text, status = fallback(p, t)
+                    name = "fallback"
+                else:
+                    ok, text, status = calls[name](p, t)
+                    if policy.record(name, status) and fallback is not None:
+                        policy.activate(slot)
+                        policy.errors[name] = 0
+                    if not ok and fallback is not None:
+                        ok, text, status = fallback(p, t)
+                        name = "fallback"
+                rows.append((text if ok else None, ok, status, name, None if ok else text))
+            cols = list(zip(*rows)) if rows else [[]] * 5
+            yield pdf.assign(answer=cols[0], ok=cols[1], status=cols[2], provider=cols[3], error=cols[4])
+
+    return jobs.mapInPandas(run, out)
+
+
+def run_statistics(answers: DataFrame) -> DataFrame:
+    """(provider, calls, ok, failed): how a run of `generate` went, by provider."""
+    return answers.groupBy("provider").agg(F.count("*").alias("calls"), F.count_if("ok").alias("ok"), F.count_if(~F.col("ok")).alias("failed"))
+
+
 def fan_out(spark, splits: tuple[str, ...] = ("train", "dev", "test"), kinds: tuple[str, ...] = P.VARIANT_TYPES[:5], target: int = 400) -> DataFrame:
     """Every split with every kind: two lists of a few names."""
     return spark.createDataFrame([(s, k, target) for s in splits for k in kinds], "split string, variant_type string, target int")
@@ -136,3 +187,25 @@ def progress(targets: DataFrame, variants: DataFrame) -> DataFrame:
     d = targets.join(have, ["split", "variant_type"], "left").withColumn("current", F.coalesce("current", F.lit(0)))
     pct = F.when(F.col("current") >= F.col("target"), F.lit(100.0)).when(F.col("target") > 0, F.col("current") * 100.0 / F.col("target")).otherwise(F.lit(0.0))
     return d.select("split", "variant_type", "current", "target", F.round(pct, 6).alias("percentage"))
+
+
+def overall(progress_rows: DataFrame, elapsed: float) -> DataFrame:
+    """One row: totals of all targets, minutes gone and minutes left at the pace so far."""
+    g = progress_rows.agg(F.coalesce(F.sum("current"), F.lit(0)).alias("total_current"), F.coalesce(F.sum("target"), F.lit(0)).alias("total_target"))
+    pct = F.when(F.col("total_target") > 0, F.col("total_current") * 100.0 / F.col("total_target")).otherwise(F.lit(0.0))
+    left = F.when((F.col("total_current") > 0) & (pct < 100), F.lit(float(elapsed)) * 100.0 / pct - F.lit(float(elapsed))).otherwise(F.lit(0.0))
+    return g.select("total_current", "total_target", F.round(pct, 6).alias("total_percentage"), F.lit(int(elapsed // 60)).alias("elapsed_minutes"), F.floor(left / 60).cast("int").alias("remaining_minutes"))
+
+
+def notify(progress_rows: DataFrame, elapsed: float, send: Callable[[str, str], None] | None) -> bool:
+    """A message on the progress of a run through a hook that takes title and text; without a hook nothing is sent. The targets are a fixed list."""
+    if send is None:
+        return False
+    t = overall(progress_rows, elapsed).first()
+    lines = [f"{t['elapsed_minutes']} min, {t['total_current']}/{t['total_target']} ({t['total_percentage']:.1f}%), {t['remaining_minutes']} min left"]
+    lines += [f"- {r['split']}/{r['variant_type']}: {r['current']}/{r['target']} ({'done' if r['percentage'] >= 100 else format(r['percentage'], '.0f') + '%'})" for r in progress_rows.orderBy("split", "variant_type").collect()]
+    try:
+        send(f"{t['total_percentage']:.0f}%, {t['elapsed_minutes']} min", "\n".join(lines))
+    except Exception:  # a message that can't be sent never ends a run
+        return False
+    return True

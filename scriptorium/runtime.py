@@ -2,27 +2,42 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
+from pyspark import SparkConf, SparkContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+DEFAULTS = {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.sql.execution.arrow.pyspark.enabled": "true"}
+LOCAL = {"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g"}
 
 
 def session(name: str = "scriptorium", cores: str = "*", **conf: str) -> SparkSession:
-    """A local session with the settings the library is tested under; a cluster brings its own."""
-    b = SparkSession.builder.master(f"local[{cores}]").appName(name)
-    defaults = {
-        "spark.sql.shuffle.partitions": "8",
-        "spark.sql.session.timeZone": "UTC",
-        "spark.ui.enabled": "false",
-        "spark.sql.adaptive.enabled": "true",
-        "spark.driver.memory": "8g",
-        "spark.sql.execution.arrow.pyspark.enabled": "true",
-    }
-    for k, v in {**defaults, **conf}.items():
-        b = b.config(k, v)
+    """The session there is, or that of the cluster this was submitted to; else a local one with the settings the library is tested under.
+
+    A cluster brings its own master, memory and partitions; only what it leaves unset is set.
+    """
+    have = SparkSession.getActiveSession()
+    if have is not None:
+        return have
+    b = SparkSession.builder.appName(name)
+    given: dict[str, str] = {}
+    if "PYSPARK_GATEWAY_PORT" in os.environ:  # under spark-submit
+        SparkContext._ensure_initialized()
+        given = dict(SparkConf().getAll())
+    if "spark.master" not in given:
+        b = b.master(f"local[{cores}]")
+        conf = {**LOCAL, **conf}
+    for k, v in {**DEFAULTS, **conf}.items():
+        if k not in given:
+            b = b.config(k, v)
     return b.getOrCreate()
 
 
@@ -46,15 +61,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, named by the cluster in spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder all executors share, named by the cluster in spark.checkpoint.dir; a temporary one only in local mode, where that is unset."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     have = getattr(sc, "_scriptorium_dir", None)
     if have is None:
-        have = "file://" + tempfile.mkdtemp(prefix="scriptorium-")
-        sc._scriptorium_dir = have
+        folder = tempfile.mkdtemp(prefix="scriptorium-")
+        atexit.register(shutil.rmtree, folder, True)
+        have = sc._scriptorium_dir = f"file://{folder}"
     return have
 
 
@@ -66,10 +84,21 @@ def cut(df: DataFrame, label: str = "step", partition_by: list[str] | None = Non
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)
+    sc = spark.sparkContext
+    sc._scriptorium_cuts = [*getattr(sc, "_scriptorium_cuts", []), path]
     return spark.read.schema(df.schema).parquet(path)
 
 
-def register_views(spark: SparkSession, sf_dir: str, names: list[str]) -> None:
-    """Make tables reachable from spark.sql."""
-    for n in names:
-        table(spark, sf_dir, n).createOrReplaceTempView(n)
+def release(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this session; frames made of them can't be read any more."""
+    sc = spark.sparkContext
+    for path in getattr(sc, "_scriptorium_cuts", []):
+        p = sc._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+    sc._scriptorium_cuts = []
+
+
+def numbered(df: DataFrame, *order: str, out: str = "row_id") -> DataFrame:
+    """The rows with a number that grows in the given order; ranges are sorted each by itself, never all rows in one task."""
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    return cut(ranged.withColumn(out, F.monotonically_increasing_id()), "numbered")

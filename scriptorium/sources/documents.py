@@ -8,6 +8,7 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,9 +21,21 @@ METADATA = "doc_id string, paper_hash string, source_doc_id string, year int, ti
 
 
 def read_text(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """(path, text): whole files in UTF-8 with universal line ends, folders searched to any depth."""
-    d = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob)
-    return d.select(decoded(F.col("_metadata.file_path")).alias("path"), newlines(F.col("value")).alias("text"))
+    """(path, text): whole files in UTF-8 with universal line ends, folders searched to any depth; bytes that are no UTF-8 are left out.
+
+    Only files that hold such bytes pass through Python.
+    """
+    r = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    d = (r.option("pathGlobFilter", glob) if glob else r).load(path).select("path", "content")
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            yield pd.DataFrame({"path": pdf["path"], "value": [bytes(c).decode("utf-8", "ignore") for c in pdf["content"]]})
+
+    valid = F.is_valid_utf8(F.col("content").cast("string"))
+    good = d.where(valid).select("path", F.col("content").cast("string").alias("value"))
+    bad = d.where(~valid).mapInPandas(run, "path string, value string")
+    return good.unionByName(bad).select("path", newlines(F.col("value")).alias("text"))
 
 
 def decoded(uri: Column) -> Column:
@@ -106,17 +119,48 @@ def read_variant_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_existing(spark: SparkSession, path: str) -> DataFrame:
-    """A table if it is there, else an empty one."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+    """The variants saved so far, a table or a file holding a JSON array; none where it is missing or can't be read."""
+    empty = spark.createDataFrame([], VARIANT.replace(", _corrupt_record string", ""))
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return empty
+    try:
+        if path.endswith(".json"):
+            d = spark.read.schema(VARIANT).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
+            return d.where("_corrupt_record IS NULL").drop("_corrupt_record")
         return spark.read.parquet(path)
-    return spark.createDataFrame([], VARIANT.replace(", _corrupt_record string", ""))
+    except AnalysisException:  # no such table
+        return empty
+
+
+#: Columns of a feature row in any of its three layouts.
+FEATURES = "features array<struct<combined_features:array<double>,bert_features:array<double>,stat_features:array<double>,char_count:double,sentence_count:double,chinese_ratio:double,comma_count:double,period_count:double,vocab_diversity:double,label:int,difficulty_level:string,generation_path:string>>"
+LOOSE = ("char_count", "sentence_count", "chinese_ratio", "comma_count", "period_count", "vocab_diversity")
 
 
-def feature_vector(combined: Column, embedding: Column, stat: Column, legacy: list[Column]) -> Column:
+def feature_vector(combined: Column, embedding: Column, stat: Column, loose: list[Column]) -> Column:
     """The vector of a feature row in whichever of three layouts it came: combined, two parts, or embedding with six loose numbers."""
-    return F.coalesce(combined, F.concat(embedding, stat), F.concat(embedding, F.array(*(F.coalesce(c.cast("double"), F.lit(0.0)) for c in legacy))))
+    return F.coalesce(combined, F.concat(embedding, stat), F.concat(embedding, F.array(*(F.coalesce(c.cast("double"), F.lit(0.0)) for c in loose))))
+
+
+def feature_rows(df: DataFrame) -> DataFrame:
+    """(features, label, split, difficulty_level, generation_path) of feature rows in any layout: what training and evaluation read."""
+    has = lambda c, t: F.col(c) if c in df.columns else F.lit(None).cast(t)
+    x = feature_vector(has("combined_features", "array<double>"), has("bert_features", "array<double>"), has("stat_features", "array<double>"), [has(c, "double") for c in LOOSE])
+    return df.select(
+        x.alias("features"), F.coalesce(has("label", "int"), F.lit(0)).alias("label"), has("split", "string").alias("split"),
+        F.coalesce(has("difficulty_level", "string"), F.lit("standard")).alias("difficulty_level"), F.coalesce(has("generation_path", "string"), F.lit("human")).alias("generation_path"))
+
+
+def read_features(spark: SparkSession, path: str) -> DataFrame:
+    """Feature rows of a table with a partition a split, or of files {split}_features.json that hold an object with an array of them."""
+    if path.endswith(".json") or "*" in path:
+        d = spark.read.schema(FEATURES).option("multiLine", True).json(path)
+        name = stem(decoded(F.col("_metadata.file_path")))
+        d = d.withColumn("split", F.regexp_extract(name, "^(.+)_features$", 1)).select("split", F.inline(F.coalesce("features", F.array().cast(FEATURES.split(" ", 1)[1]))))
+        return feature_rows(d)
+    return feature_rows(spark.read.parquet(path))
 
 
 def read_split_index(spark: SparkSession, path: str) -> DataFrame:

@@ -32,6 +32,15 @@ def count_chars(c: Column, cls: str) -> Column:
     return F.length(c) - F.length(F.regexp_replace(c, f"{cls}+", ""))
 
 
+def fixed(v: Column, digits: int) -> Column:
+    """A number from 0 to 100 with so many decimals, rounded as its exact binary value is, a tie to the even digit; the JVM's own formatting rounds its shortest decimal form."""
+    n = F.floor(v * F.lit(float(2**56))).cast("decimal(38,0)") * F.lit(10**digits)
+    q = F.floor(n / F.lit(2**56).cast("decimal(38,0)")).cast("decimal(20,0)")
+    twice = (n - q * F.lit(2**56).cast("decimal(20,0)")) * 2
+    up = (twice > F.lit(2**56)) | ((twice == F.lit(2**56)) & (q % 2 == 1))
+    return F.format_string(f"%.{digits}f", (q + F.when(up, 1).otherwise(0)).cast("double") / F.lit(float(10**digits)))
+
+
 def count_any(c: Column, chars: str) -> Column:
     """Occurrences of any of a few characters."""
     return F.length(c) - F.length(F.translate(c, chars, ""))

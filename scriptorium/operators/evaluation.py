@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scriptorium.functions.text import fixed
+
 
 def _div(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / b).otherwise(F.lit(0.0))
@@ -75,7 +77,7 @@ def best_model(metric: DataFrame, order: tuple[str, ...] = ("gbdt", "rf", "lr"),
 
 
 def summary_line() -> Column:
-    return F.format_string("%s %s: F1 %.3f, precision %.3f, recall %.3f, uncertain %.1f%%", "model", "split", "f1", "precision", "recall", F.col("uncertain_ratio") * 100)
+    return F.format_string("%s %s: F1 %s, precision %s, recall %s, uncertain %s%%", "model", "split", *(fixed(F.col(c), 3) for c in ("f1", "precision", "recall")), fixed(F.col("uncertain_ratio") * 100, 1))
 
 
 def run(rows: DataFrame, scorers: dict[str, Callable[[DataFrame], DataFrame]], splits: tuple[str, ...] = ("dev", "test", "dev_hard", "test_hard")) -> tuple[DataFrame, DataFrame]:
@@ -104,5 +106,5 @@ def run(rows: DataFrame, scorers: dict[str, Callable[[DataFrame], DataFrame]], s
 
 def summary_text() -> Column:
     """The lines on one model and split in the summary of an evaluation; figures that there are none of are left out."""
-    line = lambda name, c, f="%.3f", k=1: F.when(F.col(c).isNotNull(), F.format_string(f"    {name}: {f}", F.col(c) * k))
-    return F.concat_ws("\n", F.concat(F.lit("  "), F.col("split"), F.lit(":")), line("F1", "f1"), line("Precision", "precision"), line("Recall", "recall"), line("AUC", "auc"), line("Hard AUC", "hard_auc"), line("Uncertain Ratio", "uncertain_ratio", "%.1f%%", 100), F.lit(""))
+    line = lambda name, c, digits=3, k=1, unit="": F.when(F.col(c).isNotNull(), F.concat(F.lit(f"    {name}: "), fixed(F.col(c) * k, digits), F.lit(unit)))
+    return F.concat_ws("\n", F.concat(F.lit("  "), F.col("split"), F.lit(":")), line("F1", "f1"), line("Precision", "precision"), line("Recall", "recall"), line("AUC", "auc"), line("Hard AUC", "hard_auc"), line("Uncertain Ratio", "uncertain_ratio", 1, 100, "%"), F.lit(""))

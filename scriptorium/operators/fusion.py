@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.functions import patterns as P
+from scriptorium.functions.text import fixed
 
 
 @dataclass
@@ -133,13 +134,13 @@ def explain(fused: DataFrame, threshold: float = 0.35) -> Column:
 
 def report_line() -> Column:
     """One line on a calibrated document."""
-    return F.format_string("%s: %.1f%% %s, %d/%d (%.1f%%)", F.col("doc_id").cast("string"), F.col("doc_calibrated_score") * 100, "risk_level", "ai_paragraph_count", "total_paragraphs", F.col("ai_ratio") * 100)
+    return F.format_string("%s: %s%% %s, %d/%d (%s%%)", F.col("doc_id").cast("string"), fixed(F.col("doc_calibrated_score") * 100, 1), "risk_level", "ai_paragraph_count", "total_paragraphs", fixed(F.col("ai_ratio") * 100, 1))
 
 
 def report_text() -> Column:
     """The report on a calibrated document with the scale of risks, as it is printed."""
     rule = "=" * 60
     return F.concat_ws(
-        "\n", F.lit(rule), F.lit("AIGC检测结果 (CNKI校准版)"), F.lit(rule), F.lit(""), F.format_string("文档级AIGC分数: %.1f%%", F.col("doc_calibrated_score") * 100), F.concat(F.lit("风险等级: "), "risk_level"),
-        F.format_string("AI段落: %d/%d (%.1f%%)", "ai_paragraph_count", "total_paragraphs", F.col("ai_ratio") * 100), F.lit(""), F.lit("说明: 该分数经过CNKI校准，更接近知网AIGC检测的AI特征值"), F.lit(""),
+        "\n", F.lit(rule), F.lit("AIGC检测结果 (CNKI校准版)"), F.lit(rule), F.lit(""), F.format_string("文档级AIGC分数: %s%%", fixed(F.col("doc_calibrated_score") * 100, 1)), F.concat(F.lit("风险等级: "), "risk_level"),
+        F.format_string("AI段落: %d/%d (%s%%)", "ai_paragraph_count", "total_paragraphs", fixed(F.col("ai_ratio") * 100, 1)), F.lit(""), F.lit("说明: 该分数经过CNKI校准，更接近知网AIGC检测的AI特征值"), F.lit(""),
         F.lit("风险阈值参考:"), F.lit("  - 低风险: <15%"), F.lit("  - 中风险: 15-30%"), F.lit("  - 较高风险: 30-50%"), F.lit("  - 高风险: >50%"), F.lit(rule))

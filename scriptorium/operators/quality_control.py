@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.functions import patterns as P
-from scriptorium.functions.text import count_chars, matches, ratio, strip
+from scriptorium.functions.text import count_chars, fixed, matches, ratio, strip
 from scriptorium.operators.cleaning import clean, dirty
 
 ISSUE = "struct<type:string,desc:string,location:string,severity:string>"
@@ -49,7 +49,7 @@ def needs_model_fix(text: Column, garbled: Column) -> Column:
 
 
 def _percent(c: Column) -> Column:
-    return F.format_string("%.2f%%", c * 100.0)
+    return F.concat(fixed(c * 100.0, 2), F.lit("%"))
 
 
 def check(df: DataFrame, text_col: str = "text") -> DataFrame:

@@ -193,7 +193,7 @@ def overall(progress_rows: DataFrame, elapsed: float) -> DataFrame:
     """One row: totals of all targets, minutes gone and minutes left at the pace so far."""
     g = progress_rows.agg(F.coalesce(F.sum("current"), F.lit(0)).alias("total_current"), F.coalesce(F.sum("target"), F.lit(0)).alias("total_target"))
     pct = F.when(F.col("total_target") > 0, F.col("total_current") * 100.0 / F.col("total_target")).otherwise(F.lit(0.0))
-    left = F.when((F.col("total_current") > 0) & (pct < 100), F.lit(float(elapsed)) * 100.0 / pct - F.lit(float(elapsed))).otherwise(F.lit(0.0))
+    left = F.when((F.col("total_current") > 0) & (pct < 100), F.lit(float(elapsed)) / (pct / 100.0) - F.lit(float(elapsed))).otherwise(F.lit(0.0))
     return g.select("total_current", "total_target", F.round(pct, 6).alias("total_percentage"), F.lit(int(elapsed // 60)).alias("elapsed_minutes"), F.floor(left / 60).cast("int").alias("remaining_minutes"))
 
 

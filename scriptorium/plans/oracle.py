@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from scriptorium.functions import patterns as P
 from scriptorium.operators.features import OTHER_DIGITS
 from scriptorium.operators.variants import TEMPLATES
@@ -82,6 +84,26 @@ rep AS (SELECT *, list_filter([CASE WHEN garbled_ratio > {P.MAX_GARBLED} THEN '
  CASE WHEN char_count < {P.MIN_CHARS} THEN '字数 ' || char_count END, CASE WHEN NOT has_chapter_structure THEN '缺少章节结构' END, CASE WHEN NOT has_valid_ending THEN '缺少参考文献/致谢/附录' END], lambda x: x IS NOT NULL) AS issues,
  (dirty OR garbled_ratio > {P.ERROR_GARBLED}) AS needs_model_fix,
  CASE WHEN garbled_ratio > {P.ERROR_GARBLED} THEN 'error' WHEN garbled_ratio > {P.MAX_GARBLED} OR chinese_ratio < {P.MIN_CHINESE} OR char_count < {P.MIN_CHARS} OR NOT has_chapter_structure OR NOT has_valid_ending THEN 'warning' ELSE 'passed' END AS status FROM chk)"""
+#: A mark put after every character that is no word character, so that each can close one run of letters and open the next.
+MARK = chr(0xE000)
+RUN = rf"(?:^|{MARK})[A-Za-z](?:{P.WS}{MARK}[A-Za-z]){{3,}}(?:[^\pL\pN_{MARK}]|$)"
+
+
+def spaced(source: str, name: str, out: str) -> str:
+    """CTEs that merge spaced letters of `text`: runs and what stands between them are taken apart, put together again, and the marks removed."""
+    x = rep("text", r"([^\pL\pN_])", rf"\1{MARK}")
+    joined = f"array_to_string(list_transform(range(1, len(ps) + 1), lambda i: ps[i] || coalesce(regexp_replace(ms[i], {q(P.WS + MARK)}, '', 'g'), '')), '')"
+    return f"{name}0 AS (SELECT *, {x} AS x FROM {source}), {name}1 AS (SELECT *, string_split_regex(x, {q(RUN)}) AS ps, regexp_extract_all(x, {q(RUN)}) AS ms FROM {name}0), {name} AS (SELECT * EXCLUDE (x, ps, ms), replace({joined}, {q(MARK)}, '') AS {out} FROM {name}1)"
+
+
+def on(c: str, expr: str) -> str:
+    """An expression on `text`, on another column."""
+    return re.sub(r"\btext\b", c, expr)
+
+
+CLEAN = f"""a0 AS (SELECT doc_id, text IS NULL AS unread, regexp_replace(coalesce(text, ''), '\\r\\n?', chr(10), 'g') AS t0 FROM documents), a1 AS (SELECT *, {on('t0', CL1)} AS text FROM a0), {spaced('a1', 'a2', 't2')},
+a3 AS (SELECT *, {on('t2', CL2B)} AS t3 FROM a2), a4 AS (SELECT *, {on('t3', CL3)} AS t4 FROM a3), a5 AS (SELECT *, {on('t4', CL4)} AS t5 FROM a4),
+cleaned AS (SELECT doc_id, unread, t5 AS text, list_filter([CASE WHEN text <> t0 THEN '页眉页脚删除' END, CASE WHEN t2 <> text THEN '字母间距修复' END, CASE WHEN t4 <> t3 THEN '乱码清理' END, CASE WHEN t5 <> t4 THEN '多余空格清理' END], lambda x: x IS NOT NULL) AS fixes FROM a5)"""
 SEGMENT = f"""ls AS (SELECT doc_id, pos, {strip('raw')} AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM docs)),
 h AS (SELECT *, {HEADER('line')} AS header, line = '' AS blank FROM ls),
 g AS (SELECT *, sum(CASE WHEN header OR blank THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS g FROM h),
@@ -141,10 +163,18 @@ METRICS = """mt0 AS (SELECT model, split, count(*) AS total_samples, count(*) FI
 mt1 AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS precision, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS recall, CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END AS f1, CASE WHEN 2 * tn + fp + fn > 0 THEN 2 * tn / (2 * tn + fp + fn) ELSE 0 END AS f0 FROM mt0),
 mt AS (SELECT *, (tp + tn) / total_samples AS accuracy, (f1 + f0) / 2 AS macro_f1 FROM mt1)"""
 AUCS = lambda src: f"(SELECT model, split, sum(pos * (below + neg / 2)) / nullif(sum(pos) * sum(neg), 0) AS auc FROM (SELECT *, coalesce(sum(neg) OVER (PARTITION BY model, split ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM (SELECT model, split, p, CAST(sum(y) AS DOUBLE) AS pos, CAST(sum(1 - y) AS DOUBLE) AS neg FROM {src} GROUP BY model, split, p)) GROUP BY model, split)"
-TARGETS = "tg AS (SELECT s AS split, k AS variant_type, 40 AS target FROM (SELECT unnest(['train', 'dev', 'test']) AS s) a CROSS JOIN (SELECT unnest([" + ", ".join(f"'{k}'" for k in P.VARIANT_TYPES[:5]) + "]) AS k) b)"
+TARGETS = "tg AS (SELECT s AS split, k AS variant_type, 400 AS target FROM (SELECT unnest(['train', 'dev', 'test']) AS s) a CROSS JOIN (SELECT unnest([" + ", ".join(f"'{k}'" for k in P.VARIANT_TYPES[:5]) + "]) AS k) b)"
 ELIGIBLE = "el AS (SELECT * FROM paragraphs WHERE para_type = 'normal' AND coalesce(chapter_role, '') NOT IN (" + ", ".join(f"'{r}'" for r in P.EXCLUDED_ROLES) + "))"
+THOUSANDTHS = lambda x: f"array_to_string(list_transform({x}, lambda v: CAST(CAST(round(v * 1000) AS BIGINT) AS VARCHAR)), ',')"
 PROMPT = "CASE variant_type " + " ".join(f"WHEN '{k}' THEN replace({q(t)}, '{{text}}', original_text)" for k, t in TEMPLATES.items()) + " END"
 
+PROCESS = f"{CLEAN}, {CHECK.replace('FROM docs', 'FROM cleaned')}, processed AS (SELECT *, CASE WHEN unread THEN 'error' WHEN len(fixes) > 0 THEN 'fixed' ELSE status END AS final FROM rep JOIN cleaned USING (doc_id))"
+SENT = "list_filter(list_transform(regexp_extract_all(text, '[^。！？]*[。！？]|[^。！？]+'), lambda x: " + strip("x") + "), lambda x: x <> '')"
+PACK = f"""kp AS (SELECT doc_id, list_filter(list_transform(string_split_regex(text, {q(chr(92) + 'n' + P.WS + '*' + chr(92) + 'n')}), lambda x: regexp_replace({strip('x')}, {q(P.WS + '+')}, ' ', 'g')), lambda x: length(x) BETWEEN 100 AND 1000) AS kept, {SENT} AS ss FROM docs),
+st AS (SELECT doc_id, kept, ss, 0 AS i, '' AS cur, CAST([] AS VARCHAR[]) AS done FROM kp
+ UNION ALL SELECT doc_id, kept, ss, i + 1, CASE WHEN length(cur || ss[i + 1]) >= 200 THEN '' ELSE cur || ss[i + 1] END, CASE WHEN length(cur || ss[i + 1]) BETWEEN 200 AND 1000 THEN list_append(done, cur || ss[i + 1]) ELSE done END FROM st WHERE i < len(ss)),
+pk AS (SELECT doc_id, CASE WHEN len(kept) >= 5 THEN kept ELSE list_concat(list_concat(kept, done), CASE WHEN length(cur) >= 100 THEN [substr(cur, 1, 1000)] ELSE CAST([] AS VARCHAR[]) END) END AS paragraphs FROM st WHERE i = len(ss))"""
+PROB_ROWS = "pr AS (SELECT row_id, unnest([" + ", ".join(str(i + 1) for i in range(len(P.MODELS))) + f"]) AS j, unnest({NAMES}) AS m, unnest({ALL}) AS p, coalesce(k, 5) AS k, is_ai, confidence, triggered_by FROM fused JOIN probs USING (row_id))"
 SQL: dict[str, str] = {
     "flagship_stats_by_role": f"WITH {PARAS}, x AS (SELECT chapter_role, {div(cnt('t', P.HAN), N)} AS c, {div(cnt('t', P.DIGIT), N)} AS g, {div(cnt('t', '[，,]'), N)} AS k, {N} AS n FROM paras) SELECT chapter_role, count(*) AS paragraphs, CAST(sum(n) AS BIGINT) AS chars, {r6('avg(c)')} AS chinese_ratio, {r6('avg(g)')} AS digit_ratio, {r6('avg(k)')} AS comma_ratio FROM x GROUP BY chapter_role",
     "cl1_page_furniture": f"WITH {DOCS} SELECT doc_id, {CL1} AS cleaned FROM docs",
@@ -156,9 +186,12 @@ SQL: dict[str, str] = {
     "q3_chapter_structure": f"WITH {DOCS} SELECT doc_id, {CHAPTERS} AS has_chapter_structure FROM docs",
     "q4_valid_ending": f"WITH {DOCS} SELECT doc_id, {ENDING} AS has_valid_ending FROM docs",
     "q5_paragraph_kind": f"""WITH {PARAS}, x AS (SELECT row_id, {strip('t')} AS s FROM paras) SELECT row_id, CASE WHEN {m('s', f'^#{{1,6}}{P.WS}+', f'^第{P.NUMERAL}+章')} THEN 'heading' WHEN {m('s', f'^摘要{P.WS}*$')} THEN 'abstract' WHEN {m('s', f'^表(?:{P.WS}|{P.DIGIT})')} THEN 'table_note' WHEN {m('s', f'^图(?:{P.WS}|{P.DIGIT})')} THEN 'figure_note' WHEN {m('s', f'^公式(?:{P.WS}|{P.DIGIT})', chr(94) + '式' + chr(92) + '(')} THEN 'formula_note' WHEN {m('s', '^参考文献')} THEN 'reference' ELSE 'normal' END AS kind FROM x""",
+    "cl2a_spaced_letters": f"WITH {DOCS}, {spaced('docs', 'sl', 'cleaned')} SELECT doc_id, cleaned FROM sl",
+    "cl5_clean": f"WITH {CLEAN} SELECT doc_id, text AS cleaned, array_to_string(fixes, '|') AS fixes_applied FROM cleaned",
+    "q8_process": f"WITH {PROCESS} SELECT doc_id, text AS cleaned, array_to_string(fixes, '|') AS fixes_applied, CAST(char_count AS BIGINT) AS char_count, {r6('chinese_ratio')} AS chinese_ratio, {r6('garbled_ratio')} AS garbled_ratio, has_chapter_structure, has_valid_ending, array_to_string(issues, '|') AS issues, needs_model_fix, final AS status FROM processed",
     "q6_dirty": f"WITH {DOCS} SELECT doc_id, ({DIRTY} OR {GARBLED} > {P.ERROR_GARBLED}) AS needs_model_fix FROM docs",
     "q7_check": f"WITH {DOCS}, {CHECK} SELECT doc_id, CAST(char_count AS BIGINT) AS char_count, {r6('chinese_ratio')} AS chinese_ratio, {r6('garbled_ratio')} AS garbled_ratio, has_chapter_structure, has_valid_ending, array_to_string(issues, '|') AS issues, needs_model_fix, status FROM rep",
-    "q9_summary": f"WITH {DOCS}, {CHECK} SELECT count(*) AS total, count(*) FILTER (status = 'passed') AS passed, count(*) FILTER (status = 'warning') AS warning, CAST(0 AS BIGINT) AS fixed, count(*) FILTER (status = 'error') AS error, count(*) FILTER (needs_model_fix) AS needs_model FROM rep",
+    "q9_summary": f"WITH {PROCESS} SELECT count(*) AS total, " + ", ".join(f"count(*) FILTER (final = '{k}') AS {k}" for k in ("passed", "warning", "fixed", "error")) + ", count(*) FILTER (needs_model_fix) AS needs_model FROM processed",
     "sg1_headers": f"WITH {DOCS} SELECT doc_id, CAST(len(list_filter(string_split(text, chr(10)), lambda l: {HEADER(strip('l'))})) AS BIGINT) AS headers FROM docs",
     "sg2_dropped": f"WITH {PARAS} SELECT row_id, {DROPPED(strip('t'))} AS dropped FROM paras",
     "sg3_paragraph_type": f"WITH {PARAS} SELECT row_id, {para_type('t')} AS para_type FROM paras",
@@ -176,14 +209,14 @@ SQL: dict[str, str] = {
     "md5_major": f"WITH {DOCS} SELECT doc_id, {MAJOR} AS major FROM docs",
     "md6_author": f"WITH {DOCS} SELECT doc_id, {AUTHOR} AS author FROM docs",
     "md7_chapter_count": f"WITH {DOCS} SELECT doc_id, CAST({CHAPTER_COUNT} AS BIGINT) AS chapter_count FROM docs",
-    "md8_assemble": f"""WITH {DOCS}, p AS (SELECT doc_id, '/corpus/' || year || '/x/' || doc_id || '.md' AS source_path FROM documents), x AS (SELECT doc_id, text, {YEAR_PATH} AS year, {TITLE} AS title, {SCHOOL} AS school, {MAJOR} AS major, {AUTHOR} AS author FROM docs JOIN p USING (doc_id))
- SELECT doc_id, CASE WHEN year > 0 THEN year || '_' || doc_id ELSE CAST(doc_id AS VARCHAR) END AS source_doc_id, array_to_string(list_filter([CASE WHEN year = 0 THEN 'year' END, CASE WHEN title = '' THEN 'title' END, CASE WHEN school = '' THEN 'school' END, CASE WHEN major = '' THEN 'major' END, CASE WHEN author = '' THEN 'author' END], lambda x: x IS NOT NULL), ',') AS missing, NOT (year = 0 OR title = '' OR school = '' OR major = '' OR author = '') AS complete FROM x""",
+    "md8_assemble": f"""WITH {DOCS}, p AS (SELECT doc_id, '/corpus/' || year || '/x/' || doc_id || '.md' AS source_path FROM documents), x AS (SELECT doc_id, text, {YEAR_PATH} AS year, {TITLE} AS title, {SCHOOL} AS school, {MAJOR} AS major, {AUTHOR} AS author, source_path FROM docs JOIN p USING (doc_id))
+ SELECT doc_id, sha256(substr(text, 1, 2000))[1:16] AS paper_hash, CAST(year AS INT) AS year, title, school, major, author, CAST(length(text) AS BIGINT) AS char_count, CAST({CHAPTER_COUNT} AS BIGINT) AS chapter_count, source_path, CASE WHEN year > 0 THEN year || '_' || doc_id ELSE CAST(doc_id AS VARCHAR) END AS source_doc_id, array_to_string(list_filter([CASE WHEN year = 0 THEN 'year' END, CASE WHEN title = '' THEN 'title' END, CASE WHEN school = '' THEN 'school' END, CASE WHEN major = '' THEN 'major' END, CASE WHEN author = '' THEN 'author' END], lambda x: x IS NOT NULL), ',') AS missing_fields, NOT (year = 0 OR title = '' OR school = '' OR major = '' OR author = '') AS has_complete_metadata FROM x""",
     "md9_paragraph_counts": "SELECT m.doc_id, CAST(p.n AS INT) AS para_count FROM (SELECT DISTINCT doc_id FROM documents_metadata) m JOIN (SELECT doc_id, count(*) AS n FROM paragraphs GROUP BY doc_id) p USING (doc_id)",
     "md10_completeness": "SELECT year, count(*) AS documents, count(*) FILTER (has_complete_metadata) AS complete FROM documents_metadata GROUP BY year",
     "md10_missing_fields": "SELECT field, count(*) AS n FROM (SELECT unnest(missing_fields) AS field FROM documents_metadata) GROUP BY field",
     "src12_parent_year": f"SELECT DISTINCT source_path, CASE WHEN regexp_matches({FOLDER(1)}, '^[0-9]{{1,9}}$') THEN CAST(CASE WHEN regexp_matches({FOLDER(1)}, '^[0-9]{{1,9}}$') THEN {FOLDER(1)} END AS INT) ELSE 0 END AS year FROM documents_metadata",
     "src13_stem": f"SELECT DISTINCT source_path, {STEM} AS doc_id FROM documents_metadata",
-    "snk2_report_rows": "SELECT file, relative_path, status, CAST(char_count AS BIGINT) AS char_count, round(chinese_ratio, 4) AS chinese_ratio, round(garbled_ratio, 4) AS garbled_ratio, CAST(len(issues) AS BIGINT) AS issues, needs_model_fix FROM qc_report",
+    "snk2_report_rows": f"WITH {PROCESS} SELECT doc_id, CASE WHEN len(fixes) > 0 THEN 'fixed' ELSE status END AS status, CAST(char_count AS BIGINT) AS char_count, round(chinese_ratio, 4) AS chinese_ratio, round(garbled_ratio, 4) AS garbled_ratio, has_chapter_structure, has_valid_ending, CAST(len(issues) AS BIGINT) AS issues, array_to_string(fixes, '|') AS fixes_applied, needs_model_fix FROM processed",
     "snk4_key_mapping": "SELECT paper_hash, source_doc_id, doc_id, year, has_complete_metadata FROM documents_metadata",
     "sp1_documents_by_year": "SELECT year, count(DISTINCT doc_id) AS documents FROM documents_metadata WHERE year > 0 AND coalesce(doc_id, '') <> '' GROUP BY year",
     "sp2_documents_by_split": f"WITH {DOCSPLIT} SELECT * FROM ds",
@@ -212,7 +245,17 @@ SQL: dict[str, str] = {
     "fv2_training_features": f"""WITH {PARAS}, x AS (SELECT row_id, t, {TRAIN_S} AS s, {HANS} AS h FROM paras) SELECT row_id, CAST({N} AS BIGINT) AS char_count, CAST({cnt('t', P.SENTENCE_END)} + 1 AS BIGINT) AS sentence_count, {r6(div('len(h)', N))} AS chinese_ratio, {r6(div(cnt('t', '[a-zA-Z]'), N))} AS english_ratio, {r6(div(cnt('t', P.DIGIT), N))} AS digit_ratio,
  CAST({cnt('t', '[，,]')} AS BIGINT) AS comma_count, CAST({cnt('t', '[。.]')} AS BIGINT) AS period_count, CAST({cnt('t', '[；;]')} AS BIGINT) AS semicolon_count, CAST({cnt('t', '[：:]')} AS BIGINT) AS colon_count, {r6(div('len(list_distinct(h))', 'len(h)'))} AS vocab_diversity, {r6(div('list_sum(list_transform(s, lambda v: length(v)))', 'len(s)'))} AS avg_sentence_length,
  CAST({m('t', rf'\[{P.DIGIT}+\]')} AS INT) AS has_citation, CAST({m('t', '[=∑∏∫√∂]')} AS INT) AS has_formula, CAST({m('t', P.TABLE_REF)} AS INT) AS has_table_ref, CAST({m('t', P.FIGURE_REF)} AS INT) AS has_figure_ref FROM x""",
-    "emb3_emb4_combine": "SELECT vec_id, CAST(64 + 3 AS BIGINT) AS dim, CAST(64 AS BIGINT) AS tail, round(CAST(embedding[1] AS DOUBLE), 6) AS first_of_tail, round(CAST(embedding[64] AS DOUBLE), 6) AS last_of_tail FROM embeddings",
+    "emb3_emb4_combine": f"SELECT vec_id, {THOUSANDTHS('list_concat(s, e)')} AS online, {THOUSANDTHS('list_concat(e, s)')} AS training, {THOUSANDTHS('e')} AS tail FROM (SELECT vec_id, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS e, [CAST(vec_id AS DOUBLE), CAST(label AS DOUBLE), CAST(3 AS DOUBLE)] AS s FROM embeddings)",
+    "snk7_src11_feature_rows": f"SELECT vec_id, {THOUSANDTHS('CASE vec_id % 3 WHEN 0 THEN list_concat(e, [CAST(1 AS DOUBLE)]) WHEN 1 THEN list_concat(e, [CAST(2 AS DOUBLE), 3]) ELSE list_concat(e, [CAST(vec_id AS DOUBLE), 0, 0, 0, 4, 0]) END')} AS features, label, 'standard' AS difficulty_level, 'human' AS generation_path FROM (SELECT vec_id, CAST(label % 2 AS INT) AS label, list_transform(embedding[1:4], lambda v: CAST(v AS DOUBLE)) AS e FROM embeddings)",
+    "sg11_scoring_paragraphs": f"WITH RECURSIVE {DOCS}, {PACK} SELECT doc_id, array_to_string(paragraphs, chr(9246)) AS paragraphs FROM pk",
+    "vg5_vg6_generate": f"SELECT row_id, replace(replace(replace(original_text, '研究', '分析'), '因此', '所以'), '企业', '公司') AS answer, TRUE AS ok, CAST(200 AS INT) AS status, 'main' AS provider FROM variants WHERE {PROMPT} IS NOT NULL",
+    "vg6_run_statistics": f"SELECT 'main' AS provider, count(*) AS calls, count(*) FILTER (length({PROMPT}) % 2 = 0) AS ok, count(*) FILTER (length({PROMPT}) % 2 = 1) AS failed FROM variants WHERE {PROMPT} IS NOT NULL",
+    "vg10_overall": f"WITH {TARGETS}, c AS (SELECT split, variant_type, count(*) AS n FROM variants GROUP BY 1, 2), o AS (SELECT CAST(sum(coalesce(n, 0)) AS BIGINT) AS total_current, CAST(sum(target) AS BIGINT) AS total_target FROM tg LEFT JOIN c USING (split, variant_type)), r AS (SELECT *, total_current * 100.0 / CAST(total_target AS DOUBLE) AS pct FROM o) SELECT total_current, total_target, {r6('pct')} AS total_percentage, CAST(10 AS INT) AS elapsed_minutes, CAST(CASE WHEN total_current > 0 AND pct < 100 THEN floor((600 / (pct / 100.0) - 600) / 60) ELSE 0 END AS INT) AS remaining_minutes FROM r",
+    "ca3_report_lines": f"WITH {PROBS}, {CAL}, {CALDOC}, r AS (SELECT doc_id, a, {DOC_RISK} AS level, ai_paragraph_count AS x, total_paragraphs AS n, ai_paragraph_count / CAST(total_paragraphs AS DOUBLE) AS share, a * 100 AS pa, ai_paragraph_count / CAST(total_paragraphs AS DOUBLE) * 100 AS ps FROM cd) SELECT doc_id, printf('%s: %.1f%% %s, %d/%d (%.1f%%)', doc_id, pa, level, x, n, ps) AS line, concat_ws(chr(10), repeat('=', 60), 'AIGC检测结果 (CNKI校准版)', repeat('=', 60), '', printf('文档级AIGC分数: %.1f%%', pa), '风险等级: ' || level, printf('AI段落: %d/%d (%.1f%%)', x, n, ps), '', '说明: 该分数经过CNKI校准，更接近知网AIGC检测的AI特征值', '', '风险阈值参考:', '  - 低风险: <15%', '  - 中风险: 15-30%', '  - 较高风险: 30-50%', '  - 高风险: >50%', repeat('=', 60)) AS report FROM r",
+    "snk10_detection_json": f"WITH {PROBS}, {FUSED}, o AS (SELECT *, {RISK} AS risk, row_number() OVER (PARTITION BY doc_id ORDER BY para_index, is_ai, confidence, triggered_by) AS rn FROM fused) SELECT doc_id, {r6('avg(confidence)')} AS score, count(*) AS n, count(*) FILTER (risk = 'high') AS high, CAST(least(count(*), 20) AS BIGINT) AS shown, string_agg(CASE WHEN rn <= 20 THEN para_index || ':' || triggered_by || ':' || risk END, ',' ORDER BY rn) AS paragraphs FROM o GROUP BY doc_id",
+    "tr2_train_time": f"WITH {SCORED}, {METRICS}, hd AS (SELECT * FROM sc WHERE difficulty = 'hard'), a AS (SELECT * FROM {AUCS('sc')}), b AS (SELECT * FROM {AUCS('hd')}) SELECT model, split, {r6('precision')} AS precision, {r6('recall')} AS recall, {r6('f1')} AS f1, {r6('a.auc')} AS auc, {r6('b.auc')} AS hard_auc FROM mt LEFT JOIN a USING (model, split) LEFT JOIN b USING (model, split)",
+    "ev7_evaluation": f"WITH {SCORED}, {METRICS}, hd AS (SELECT * FROM sc WHERE difficulty = 'hard'), a AS (SELECT * FROM {AUCS('sc')}), b AS (SELECT * FROM {AUCS('hd')}) SELECT model, split, total_samples, {r6('precision')} AS precision, {r6('recall')} AS recall, {r6('f1')} AS f1, {r6('a.auc')} AS auc, {r6('b.auc')} AS hard_auc, {r6('uncertain_ratio')} AS uncertain_ratio, FALSE AS failed FROM mt LEFT JOIN a USING (model, split) LEFT JOIN b USING (model, split) WHERE split <> 'train' UNION ALL SELECT 'broken', s, 0, NULL, NULL, NULL, NULL, NULL, NULL, TRUE FROM (SELECT unnest(['dev', 'test', 'dev_hard', 'test_hard']) AS s)",
+    "snk5_split_index": f"WITH {HARD} SELECT DISTINCT doc_id, split FROM hard UNION ALL SELECT DISTINCT doc_id, split || '_hard' FROM hard WHERE hard AND split <> 'train'",
     "fe1_human_rows": HUMAN,
     "fe2_variant_errors": f"SELECT row_id, {VERR} AS error FROM variants",
     "fe3_variant_rows": AIROWS,
@@ -221,7 +264,8 @@ SQL: dict[str, str] = {
     "fe6_totals": f"WITH r AS ({HUMAN} UNION ALL {AIROWS}) SELECT CASE WHEN grouping(split) = 1 THEN '*' ELSE coalesce(split, '?') END AS split, CASE WHEN grouping(generation_path) = 1 THEN '*' ELSE generation_path END AS generation_path, count(*) AS n, CAST(sum(label) AS BIGINT) AS positive, {r6('100.0 * count(*) / (SELECT count(*) FROM r)')} AS percent FROM r GROUP BY ROLLUP (split, generation_path)",
     "fu2_fuse": f"WITH {PROBS}, {FUSED} SELECT row_id, is_ai, confidence, triggered_by, CAST(coalesce(k, 5) AS BIGINT) AS evaluated FROM fused",
     "fu3_fused_probability": f"WITH {PROBS}, {FUSED} SELECT row_id, confidence AS first_trigger, max_prob FROM fused",
-    "fu5_descriptors": f"SELECT unnest({NAMES}) AS model, CAST(0 AS INT) AS feature_dim, starts_with(unnest({NAMES}), 'bert') AS use_embedding, NOT starts_with(unnest({NAMES}), 'bert') AS has_selector",
+    "fu5_descriptors": "SELECT * FROM (VALUES ('select5_tree_d2', 5, FALSE, TRUE), ('select10_tree_d2', 10, FALSE, TRUE), ('select15_tree_d3', 15, FALSE, TRUE), ('select20_tree_d2', 20, FALSE, TRUE), ('bert_tree_d1', 768, TRUE, FALSE)) AS v(model, feature_dim, use_embedding, has_selector)",
+    "fu6_explanations": f"WITH {PROBS}, {FUSED}, {PROB_ROWS.replace('FROM fused JOIN probs USING (row_id)', 'FROM (SELECT f.*, ' + ', '.join(f'p.{k}' for k in P.MODELS) + ' FROM fused f JOIN probs p USING (row_id))')} SELECT row_id, concat_ws(chr(10), 'AIGC检测结果: ' || any_value(CASE WHEN is_ai THEN '高风险' ELSE '低风险' END), '触发阈值: 0.35', '最高置信度: ' || printf('%.3f', any_value(confidence)), '触发模型: ' || any_value(triggered_by), '', '各模型概率:', string_agg(printf('  %-20s: %.3f', m, p) || CASE WHEN p > 0.35 THEN ' ✓' ELSE '' END, chr(10) ORDER BY p DESC, j)) AS explanation FROM pr WHERE j <= k GROUP BY row_id",
     "fu7_paragraph_risk": f"WITH {PROBS}, {FUSED} SELECT row_id, {RISK} AS risk FROM fused",
     "fu8_document_scores": f"WITH {PROBS}, {FUSED}, d AS (SELECT doc_id, avg(confidence) AS s, count(*) AS n, count(*) FILTER ({RISK} = 'high') AS h, count(*) FILTER ({RISK} = 'medium') AS md, count(*) FILTER ({RISK} = 'low') AS lo FROM fused GROUP BY doc_id) SELECT m.doc_id, {r6('coalesce(s, 0)')} AS doc_ai_score, coalesce(n, 0) AS n, coalesce(h, 0) AS high_risk_count, coalesce(md, 0) AS medium_risk_count, coalesce(lo, 0) AS low_risk_count, {r6('CASE WHEN n > 0 THEN h / n ELSE 0 END')} AS high_share FROM (SELECT DISTINCT doc_id FROM documents_metadata) m LEFT JOIN d USING (doc_id)",
     "fu8_paragraph_list": f"WITH {PROBS}, {FUSED} SELECT doc_id, CAST(least(count(*), 20) AS BIGINT) AS shown, CAST(min(para_index) AS BIGINT) AS first_id FROM fused GROUP BY doc_id",

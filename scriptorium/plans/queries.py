@@ -11,7 +11,7 @@ from scriptorium.functions import patterns as P
 from scriptorium.functions.text import count_of, distinct_chars, lines, newlines, r6, ratio, strip  # noqa: F401
 from scriptorium.operators import cleaning, evaluation, features, fusion, metadata, quality_control, segmentation, splitting, training, variants
 from scriptorium.runtime import table
-from scriptorium.sources import sinks
+from scriptorium.sources import documents, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -91,7 +91,7 @@ _measure("q3_chapter_structure", quality_control.has_chapters, "has_chapter_stru
 _measure("q4_valid_ending", quality_control.has_ending, "has_valid_ending")
 _measure("q6_dirty", lambda c: quality_control.needs_model_fix(c, quality_control.garbled_ratio(c)), "needs_model_fix")
 _measure("sg1_headers", lambda c: F.size(F.filter(lines(c), segmentation.is_header)).cast("bigint"), "headers")
-_measure("sg11_scoring_paragraphs", segmentation.split_for_scoring, "paragraphs")
+_measure("sg11_scoring_paragraphs", lambda c: F.array_join(segmentation.split_for_scoring(c), "\u241e"), "paragraphs")
 _measure("md1_paper_hash", metadata.paper_hash, "paper_hash")
 _measure("md3_title", metadata.title, "title")
 _measure("md4_school", metadata.school, "school")
@@ -113,12 +113,14 @@ def q7_check(spark, d):
 
 @query
 def q8_process(spark, d):
-    return quality_control.process(table(spark, d, "documents").select("doc_id", newlines(F.col("text")).alias("text"))).drop("text")
+    r = quality_control.process(table(spark, d, "documents").select("doc_id", newlines(F.col("text")).alias("text")))
+    r = r.select("doc_id", "cleaned", F.array_join("fixes_applied", "|").alias("fixes_applied"), F.col("char_count").cast("bigint").alias("char_count"), "chinese_ratio", "garbled_ratio", "has_chapter_structure", "has_valid_ending", F.array_join(F.transform("issues", lambda x: x["desc"]), "|").alias("issues"), "needs_model_fix", "status")
+    return rounded(r, "chinese_ratio", "garbled_ratio")
 
 
 @query
 def q9_summary(spark, d):
-    return quality_control.summary(quality_control.check(docs(spark, d)))
+    return quality_control.summary(quality_control.process(table(spark, d, "documents").select("doc_id", newlines(F.col("text")).alias("text"))))
 
 
 @query
@@ -176,7 +178,7 @@ def md2_year_of_path(spark, d):
 @query
 def md8_assemble(spark, d):
     x = table(spark, d, "documents").select("doc_id", newlines(F.coalesce("text", F.lit(""))).alias("text"), F.concat(F.lit("/corpus/"), F.col("year").cast("string"), F.lit("/x/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"))
-    return metadata.extract(x).select("doc_id", "source_doc_id", F.array_join("missing_fields", ",").alias("missing"), F.col("has_complete_metadata").alias("complete"))
+    return metadata.extract(x).withColumn("missing_fields", F.array_join("missing_fields", ",")).withColumn("chapter_count", F.col("chapter_count").cast("bigint")).withColumn("char_count", F.col("char_count").cast("bigint"))
 
 
 @query
@@ -206,8 +208,8 @@ def src13_stem(spark, d):
 
 @query
 def snk2_report_rows(spark, d):
-    q = table(spark, d, "qc_report")
-    return q.select("file", "relative_path", "status", F.col("char_count").cast("bigint").alias("char_count"), F.round("chinese_ratio", 4).alias("chinese_ratio"), F.round("garbled_ratio", 4).alias("garbled_ratio"), F.size("issues").cast("bigint").alias("issues"), "needs_model_fix")
+    r = sinks.report_rows(quality_control.process(docs(spark, d)))
+    return r.select("doc_id", "status", F.col("char_count").cast("bigint").alias("char_count"), "chinese_ratio", "garbled_ratio", "has_chapter_structure", "has_valid_ending", F.size("issues").cast("bigint").alias("issues"), F.array_join("fixes_applied", "|").alias("fixes_applied"), "needs_model_fix")
 
 
 @query
@@ -296,7 +298,7 @@ def vg2_unprocessed(spark, d):
 
 
 def _targets(spark: SparkSession) -> DataFrame:
-    return variants.fan_out(spark, target=40)
+    return variants.fan_out(spark)
 
 
 @query
@@ -312,7 +314,7 @@ def vg4_prompts(spark, d):
 
 @query
 def vg5_vg6_generate(spark, d):
-    return variants.generate(vg4_prompts(spark, d)).select("row_id", "answer", "ok")
+    return variants.generate(vg4_prompts(spark, d).where("prompt IS NOT NULL")).select("row_id", "answer", "ok", "status", "provider")
 
 
 @query
@@ -345,9 +347,10 @@ def emb1_embeddings(spark, d):
 
 @query
 def emb3_emb4_combine(spark, d):
-    e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
-    c = e.withColumn("c", features.combine(F.array(F.lit(1.0), F.lit(2.0), F.lit(3.0)), F.col("e"), online=True)).withColumn("t", features.embedding_part(F.col("c"), 64))
-    return c.select("vec_id", F.size("c").cast("bigint").alias("dim"), F.size("t").cast("bigint").alias("tail"), r6(F.get("t", F.lit(0))).alias("first_of_tail"), r6(F.get("t", F.lit(63))).alias("last_of_tail"))
+    e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"), F.array(F.col("vec_id").cast("double"), F.col("label").cast("double"), F.lit(3.0)).alias("s"))
+    c = e.withColumn("online", features.combine(F.col("s"), F.col("e"), online=True)).withColumn("training", features.combine(F.col("s"), F.col("e"), online=False)).withColumn("tail", features.embedding_part(F.col("online"), 64))
+    joined = lambda x: F.array_join(F.transform(x, lambda v: F.round(v * 1000).cast("bigint").cast("string")), ",")
+    return c.select("vec_id", joined("online").alias("online"), joined("training").alias("training"), joined("tail").alias("tail"))
 
 
 @query
@@ -396,7 +399,7 @@ def fu3_fused_probability(spark, d):
 
 @query
 def fu5_descriptors(spark, d):
-    return fusion.model_descriptors(spark)
+    return fusion.model_descriptors(spark, dict(zip(P.MODELS, (5, 10, 15, 20, 768))))
 
 
 @query
@@ -434,13 +437,16 @@ def ca2_document_scores(spark, d):
 
 @query
 def ca3_report_lines(spark, d):
-    return fusion.document_scores_calibrated(fusion.fuse_calibrated(probs(spark, d))).select("doc_id", fusion.report_line().alias("line"))
+    s = fusion.document_scores_calibrated(fusion.fuse_calibrated(probs(spark, d)))
+    return s.select("doc_id", fusion.report_line().alias("line"), fusion.report_text().alias("report"))
 
 
 @query
 def snk10_detection_json(spark, d):
     f = fusion.fuse(probs(spark, d))
-    return sinks.detection_json(fusion.document_scores(f), fusion.paragraph_list(f, first=20))
+    j = sinks.detection_json(fusion.document_scores(f), fusion.paragraph_list(f, first=20)).withColumn("x", F.from_json("json", "doc_ai_score double, n bigint, high_risk_count bigint, paragraphs array<struct<paragraph_id:bigint,is_ai:boolean,confidence:double,triggered_by:string,risk_level:string>>"))
+    listed = F.array_join(F.transform("x.paragraphs", lambda p: F.concat_ws(":", p["paragraph_id"].cast("string"), p["triggered_by"], p["risk_level"])), ",")
+    return j.select("doc_id", r6(F.col("x.doc_ai_score")).alias("score"), F.col("x.n").alias("n"), F.col("x.high_risk_count").alias("high"), F.size("x.paragraphs").cast("bigint").alias("shown"), listed.alias("paragraphs"))
 
 
 KEYS = ["model", "split"]
@@ -451,6 +457,50 @@ def ev1_metrics(spark, d):
     return rounded(evaluation.metrics(scored(spark, d), KEYS), "precision", "recall", "f1", "accuracy", "macro_f1", "uncertain_ratio")
 
 
+@query
+def tr2_train_time(spark, d):
+    return rounded(training.train_time_metrics(scored(spark, d), KEYS), "precision", "recall", "f1", "auc", "hard_auc")
+
+
+@query
+def ev7_evaluation(spark, d):
+    """The driver over models and splits on given probabilities: results, and an error for the model that fails."""
+    rows = scored(spark, d).select("split", F.col("difficulty").alias("difficulty_level"), F.col("y").alias("label"), "model", "p", "pred")
+    scorers = {k: (lambda x, k=k: x.where(F.col("model") == k)) for k in ("gbdt", "rf", "lr")} | {"broken": lambda x: x.withColumn("p", F.raise_error(F.lit("no model")).cast("double"))}
+    r = evaluation.run(rows, scorers)[0]
+    return rounded(r, "f1", "precision", "recall", "auc", "hard_auc", "uncertain_ratio").fillna(0, ["total_samples"]).select("model", "split", "total_samples", "precision", "recall", "f1", "auc", "hard_auc", "uncertain_ratio", F.col("error").isNotNull().alias("failed"))
+
+
+@query
+def snk5_split_index(spark, d):
+    h = hard(spark, d)
+    return h.select("doc_id", "split").distinct().unionByName(splitting.hard_index(h.where("split <> 'train'")))
+
+
+@query
+def snk7_src11_feature_rows(spark, d):
+    """Feature rows in three layouts read as one: combined, in two parts, and old ones with six loose numbers."""
+    e = table(spark, d, "embeddings").select("vec_id", F.slice(F.col("embedding").cast("array<double>"), 1, 4).alias("e"), (F.col("label") % 2).alias("label"))
+    k = F.col("vec_id") % 3
+    none = F.lit(None).cast("array<double>")
+    x = e.select(
+        F.when(k == 0, F.concat("e", F.array(F.lit(1.0)))).otherwise(none).alias("combined_features"), F.when(k > 0, F.col("e")).otherwise(none).alias("bert_features"), F.when(k == 1, F.array(F.lit(2.0), F.lit(3.0))).otherwise(none).alias("stat_features"),
+        F.col("vec_id").cast("double").alias("char_count"), F.lit(4.0).alias("period_count"), "label", F.col("vec_id").cast("string").alias("split"))
+    r = documents.feature_rows(x)
+    return r.select(F.col("split").cast("bigint").alias("vec_id"), F.array_join(F.transform("features", lambda v: F.round(v * 1000).cast("bigint").cast("string")), ",").alias("features"), "label", "difficulty_level", "generation_path")
+
+
+@query
+def vg6_run_statistics(spark, d):
+    refuses = lambda prompt_text, temp: (False, "HTTP 500", 500) if len(prompt_text) % 2 else variants.offline_client(prompt_text, temp)
+    return variants.run_statistics(variants.generate(vg4_prompts(spark, d).where("prompt IS NOT NULL"), client=refuses)).select("provider", "calls", "ok", "failed")
+
+
+@query
+def vg10_overall(spark, d):
+    return variants.overall(vg10_progress(spark, d), 600.0)
+
+
 @query
 def ev2_auc(spark, d):
     return rounded(evaluation.auc(scored(spark, d), KEYS), "auc")

@@ -110,12 +110,17 @@ def read_json_envelope(spark: SparkSession, path: str, field: str = "metadata",
     return spark.read.schema(f"{field} array<struct<{', '.join(c.replace(' ', ':', 1) for c in schema.split(', '))}>>").option("multiLine", True).json(path).select(F.inline(F.coalesce(field, F.array())))
 
 
+def readable() -> Column:
+    """Rows of files that are JSON; the text is looked at too, for the column of what could not be read may not be asked for alone."""
+    return F.coalesce(F.length("_corrupt_record"), F.lit(0)) + F.coalesce(F.length("original_text") * 0, F.lit(0)) == 0
+
+
 def read_variant_files(spark: SparkSession, path: str) -> DataFrame:
     """Variants of files named {split}_{type}_variants.json, type and split from the name; files that are no JSON give no rows."""
     d = spark.read.schema(VARIANT).option("multiLine", True).option("mode", "PERMISSIVE").option("pathGlobFilter", "*_variants.json").json(path)
     name = stem(decoded(F.col("_metadata.file_path")))
     d = d.withColumn("split", F.regexp_extract(name, "^([^_]+)_(.+)_variants$", 1)).withColumn("file_type", F.regexp_extract(name, "^([^_]+)_(.+)_variants$", 2))
-    return d.where("_corrupt_record IS NULL").drop("_corrupt_record")
+    return d.where(readable()).drop("_corrupt_record")
 
 
 def read_existing(spark: SparkSession, path: str) -> DataFrame:
@@ -128,7 +133,7 @@ def read_existing(spark: SparkSession, path: str) -> DataFrame:
     try:
         if path.endswith(".json"):
             d = spark.read.schema(VARIANT).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
-            return d.where("_corrupt_record IS NULL").drop("_corrupt_record")
+            return d.where(readable()).drop("_corrupt_record")
         return spark.read.parquet(path)
     except AnalysisException:  # no such table
         return empty

@@ -49,3 +49,17 @@ def test_cleaning_steps(spark):
 def test_nulls_and_empty(spark):
     assert run(spark, strip, ["", " "]) == ["", ""]
     assert run(spark, distinct_chars, [""]) == [0]
+
+
+def test_fixed_rounds_as_python_does(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from scriptorium.functions.text import fixed
+
+    r = random.Random(1)
+    vs = [0.0, 0.5, 15.625, 15.375, 1.015, 22.05, 22.15, 19.25, 99.995, 100.0, *(r.random() * 100 for _ in range(300)), *(r.randrange(20001) / 200 for _ in range(300))]
+    for digits in (1, 2, 3):
+        got = [x["f"] for x in spark.createDataFrame([(v,) for v in vs], "v double").select(fixed(F.col("v"), digits).alias("f")).collect()]
+        assert got == [f"{v:.{digits}f}" for v in vs]

@@ -183,10 +183,20 @@ def viterbi(items: list[int], model: PairModel, left: str = "", right: str = "",
 GOOD = re.compile(rb"(?:[\x00-\x7f]|[\xc2-\xdf][\x80-\xbf]|[\xe1-\xef][\x80-\xbf]{2}|[\xf0-\xf3][\x80-\xbf]{3})+")
 VALID = re.compile(rb"[\xc2-\xdf][\x80-\xbf]|[\xe1-\xef][\x80-\xbf]{2}|[\xf0-\xf3][\x80-\xbf]{3}")
 HIGH = bytes(range(128, 256))
-#: Longest stretch of bytes that do not line up on which the search runs; beyond it nothing is known but that text was lost.
+#: Bytes that do not line up are searched in stretches of this many, each continuing the text read before it.
 STRETCH = 24
 
 
+def search(items: list[int], model: PairModel, left: str, right: str = "") -> str:
+    """The search over a stretch of any length, cut where a character begins."""
+    out = ""
+    while len(items) > STRETCH:
+        at = next((k for k in range(STRETCH, STRETCH // 2, -1) if items[k] >= 0 and not 0x80 <= items[k] < 0xC0), STRETCH)
+        out += viterbi(items[:at], model, left + out)
+        items = items[at:]
+    return out + viterbi(items, model, left + out, right)
+
+
 def read_utf8(items: list[int], model: PairModel) -> str:
     """Bytes that line up are read as they are; the search runs over the stretches between them."""
     raw = bytes(b if b >= 0 else 0xFF for b in items)
@@ -194,11 +204,11 @@ def read_utf8(items: list[int], model: PairModel) -> str:
     for m in GOOD.finditer(raw):
         good = m.group().decode("utf-8", "replace")
         if m.start() > at:
-            out += viterbi(items[at : m.start()], model, out, good) if m.start() - at <= STRETCH else "�"
+            out += search(items[at : m.start()], model, out, good)
         out += good
         at = m.end()
     if at < len(items):
-        out += viterbi(items[at:], model, out) if len(items) - at <= STRETCH else "�"
+        out += search(items[at:], model, out)
     return out
 
 

@@ -16,14 +16,15 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scriptorium.llm.lm import CELLS, STEP, kept, spread, word_cells
+
 LANGS = ("zh", "en", "ja", "de", "fr", "es", "ru")
 LATIN = ("en", "de", "fr", "es")
-#: Words the learned table holds at most, most frequent first; others are scored by their letters.
-VOCABULARY = 40_000
 #: Nats a change of language between neighbouring words costs.
 SWITCH = 7.0
 #: Letters of a Latin term that stands inside a Chinese or Japanese sentence, at most.
@@ -74,43 +75,72 @@ def segments(text: str) -> list[str]:
     return out
 
 
-def learn(documents: DataFrame, vocabulary: int = VOCABULARY) -> dict[str, tuple[float, ...]]:
-    """Log probabilities of Latin words in each of the Latin languages, from all documents whose label names one."""
+class Words:
+    """Scores of Latin words from their counts in each Latin language, in hashed tables of fixed size: every word of the corpus counts, however many there are.
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c: Counter = Counter()
-        for b in batches:
-            for lang, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                c.update((lang, w) for w in re.findall("[A-Za-zÀ-ÖØ-öø-ɏ]+", t.lower()))
-        if c:
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in c]), pa.array([k[1] for k in c]), pa.array(list(c.values()), pa.int64())], names=["lang", "word", "n"])
+    A word's count is the least of two cells, so that one rare word in a crowded table hardly takes another's.
+    """
 
-    rows = documents.select(label(F.col("lang")).alias("lang"), "text").where(F.col("lang").isin(*LATIN) & F.col("text").isNotNull())
-    counts = rows.mapInArrow(count, "lang string, word string, n bigint").groupBy("word").agg(*(F.sum(F.when(F.col("lang") == k, F.col("n")).otherwise(0)).alias(k) for k in LATIN))
-    total = counts.agg(*(F.sum(k).alias(k) for k in LATIN)).first()
-    best = counts.orderBy(F.desc(sum(F.col(k) for k in LATIN)), "word").limit(vocabulary).collect()
-    anchors = {k: set(v.split()) for k, v in ANCHORS.items()}
-    out: dict[str, tuple[float, ...]] = {}
-    words = {r["word"]: r for r in best}
-    for w in {*words, *(x for v in anchors.values() for x in v)}:
-        r = words.get(w)
-        p = []
-        for k in LATIN:
-            # what a language's share of the labels may be wrong by is part of the floor
-            n = float(r[k]) if r else 0.0
-            f = (n + 0.02) / ((total[k] or 0) + 400.0)
-            p.append(f)
+    def __init__(self, q: np.ndarray, totals: list[float]):
+        self.n = np.where(q == 0, 0.0, np.exp((q.astype(np.float32) - 1) / STEP)).astype(np.float32)
+        self.totals = totals
+        self.cache: dict[str, tuple[float, ...] | None] = {}
+
+    def get(self, word: str) -> tuple[float, ...] | None:
+        """Scores of a word in lower case, none if no labelled document has it and it is no function word."""
+        if word not in self.cache:
+            if len(self.cache) > 500_000:
+                self.cache.clear()
+            a, b = word_cells([word, "\1" + word])
+            n = np.minimum(self.n[:, a], self.n[:, b])
+            known = any(word in v for v in WORDS.values())
+            self.cache[word] = self._scores(word, n.tolist(), known) if known or n.any() else None
+        return self.cache[word]
+
+    def _scores(self, word: str, n: list[float], known: bool) -> tuple[float, ...]:
+        # what a language's share of the labels may be wrong by is part of the floor
+        p = [(x + 0.02) / (t + 400.0) for x, t in zip(n, self.totals)]
         noise = 0.03 * max(p)
         s = [math.log(max(x, noise)) for x in p]
         top = max(s)
         s = [max(x - top, -3.5) for x in s]
-        if any(w in a for a in anchors.values()):
-            s = [x + (1.0 if w in anchors[k] else -0.5) for x, k in zip(s, LATIN)]
-        out[w] = tuple(s)
-    return out
+        return tuple(x + (1.0 if word in WORDS[k] else -0.5) for x, k in zip(s, LATIN)) if known else tuple(s)
+
 
+WORDS = {k: frozenset(v.split()) for k, v in ANCHORS.items()}
 
-def score(word: str, table: dict[str, tuple[float, ...]]) -> dict[str, float]:
+
+def learn(documents: DataFrame) -> tuple[np.ndarray, list[float]]:
+    """Quantised log counts of Latin words in each of the Latin languages, from all documents whose label names one, and the words of each: what Words is made of."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[str, np.ndarray] = {}
+        for b in batches:
+            langs = np.array(b.column(0).to_pylist(), object)
+            texts = b.column(1).to_pylist()
+            for k in set(langs.tolist()):
+                c: Counter = Counter()
+                for i in np.nonzero(langs == k)[0]:
+                    c.update(re.findall("[A-Za-zÀ-ÖØ-öø-ɏ]+", texts[i].lower()))
+                if c:
+                    n = np.fromiter(c.values(), np.float64, len(c))
+                    cells = word_cells([*c, *("\1" + w for w in c)])
+                    totals[k] = totals.get(k, 0) + np.bincount(cells, weights=np.concatenate([n, n]), minlength=CELLS).astype(np.int64)
+        for k, n in totals.items():
+            at = np.nonzero(n)[0]
+            yield pa.RecordBatch.from_arrays([pa.array([LATIN.index(k)] * len(at), pa.int32()), pa.array(at.astype(np.int32)), pa.array(n[at])], names=["lang", "cell", "n"])
+
+    rows = documents.select(label(F.col("lang")).alias("lang"), "text").where(F.col("lang").isin(*LATIN) & F.col("text").isNotNull())
+    counts = rows.mapInArrow(count, "lang int, cell int, n bigint").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toArrow()  # at most CELLS rows a language
+    n = np.zeros((len(LATIN), CELLS), np.float64)
+    n[counts.column("lang").to_numpy(), counts.column("cell").to_numpy()] = counts.column("n").to_numpy()
+    q = np.zeros(n.shape, np.uint8)
+    some = n > 0
+    q[some] = np.minimum(255, 1 + np.round(np.log(n[some]) * STEP)).astype(np.uint8)
+    return q, [float(x) / 2 for x in n.sum(1)]
+
+
+def score(word: str, table: Words) -> dict[str, float]:
     """Scores of the languages a word may be in, by its script first."""
     if "A" <= word[0] <= "z" or "À" <= word[0] <= "ɏ":
         w = word.lower()
@@ -126,13 +156,13 @@ def score(word: str, table: dict[str, tuple[float, ...]]) -> dict[str, float]:
     return {"zh": 0.4 * len(word), "ja": 0.0}
 
 
-def spans(text: str, table: dict[str, tuple[float, ...]], switch: float = SWITCH) -> list[tuple[str, int, float]]:
-    """(language, letters, margin) of each span of one language, by Viterbi over the words."""
+def spans(text: str, table: Words, switch: float = SWITCH) -> list[tuple[str, int, float]]:
+    """(language, letters, margin) of each span of one language, by Viterbi over the words; the margin is what the span's words score more than in any other language."""
     tokens = TOKEN.findall(text)
     if not tokens:
         return []
     best = {k: 0.0 for k in LANGS}
-    back: list[tuple[dict[str, str], str]] = []
+    back: list[tuple[dict[str, str], int, dict[str, float], float]] = []
     for t in tokens:
         s = score(t, table)
         top = max(best, key=best.__getitem__)
@@ -147,38 +177,37 @@ def spans(text: str, table: dict[str, tuple[float, ...]], switch: float = SWITCH
                 b, came[k] = stay, top
             nxt[k] = b + s.get(k, far)
         best = nxt
-        back.append((came, t))
+        back.append((came, len(t), s, far))
     k = max(best, key=best.__getitem__)
-    second = max(v for q, v in best.items() if q != k)
-    margin = best[k] - second
     path = []
-    for came, t in reversed(back):
-        path.append((k, len(t)))
+    for came, n, s, far in reversed(back):
+        path.append((k, n, s, far))
         k = came[k]
-    path.reverse()
-    out: list[tuple[str, int, float]] = []
-    for k, n in _joined(path):
-        out.append((k, n, margin))
+    # spans with the scores of their words in each language
+    out: list[list] = []
+    for k, n, s, far in reversed(path):
+        if not out or out[-1][0] != k:
+            out.append([k, 0, dict.fromkeys(LANGS, 0.0)])
+        out[-1][1] += n
+        for q in LANGS:
+            out[-1][2][q] += s.get(q, far)
     # a foreign term inside a sentence is of that sentence's language
-    for i, (k, n, m) in enumerate(out):
-        if k in LATIN and n <= TERM:
-            near = [out[j][0] for j in (i - 1, i + 1) if 0 <= j < len(out) and out[j][0] in ("zh", "ja")]
-            if near:
-                out[i] = (near[0], n, m)
-    return [(k, n, margin) for k, n in _joined([(k, n) for k, n, _ in out])]
-
-
-def _joined(path: list[tuple[str, int]]) -> list[tuple[str, int]]:
-    out: list[tuple[str, int]] = []
-    for k, n in path:
-        if out and out[-1][0] == k:
-            out[-1] = (k, out[-1][1] + n)
+    terms = []
+    for i, (k, n, _) in enumerate(out):
+        near = [out[j][0] for j in (i - 1, i + 1) if 0 <= j < len(out) and out[j][0] in ("zh", "ja")] if k in LATIN and n <= TERM else []
+        terms.append(near[0] if near else None)
+    merged: list[list] = []
+    for (k, n, sums), term in zip(out, terms):
+        margin = None if term else sums[k] - max(v for q, v in sums.items() if q != k)
+        if merged and merged[-1][0] == (term or k):
+            merged[-1][1] += n
+            merged[-1][2] = max((m for m in (merged[-1][2], margin) if m is not None), default=None)
         else:
-            out.append((k, n))
-    return out
+            merged.append([term or k, n, margin])
+    return [(k, n, m if m is not None else 0.0) for k, n, m in merged]
 
 
-def languages(text: str | None, table: dict[str, tuple[float, ...]]) -> tuple[tuple[str, float] | None, list[tuple[str | None, float]]]:
+def languages(text: str | None, table: Words) -> tuple[tuple[str, float] | None, list[tuple[str | None, float]]]:
     """The document's language with a confidence, and that of each segment."""
     if not text or not text.strip():
         return None, []
@@ -187,15 +216,15 @@ def languages(text: str | None, table: dict[str, tuple[float, ...]]) -> tuple[tu
     sure = 0.0
     for seg in segments(text):
         c: Counter = Counter()
-        m = 0.0
+        sure_of: Counter = Counter()
         for k, n, margin in spans(seg, table):
             c[k] += n
-            m = margin
+            sure_of[k] += n * (1 - 0.5 * math.exp(-max(margin, 0.0)))
         if not c:
             parts.append((None, 0.0))
             continue
         k, n = c.most_common(1)[0]
-        conf = n / sum(c.values()) * (1 - 0.5 * math.exp(-max(m, 0.0)))
+        conf = sure_of[k] / sum(c.values())
         parts.append((k, round(conf, 4)))
         total.update(c)
         sure += conf * sum(c.values())
@@ -205,20 +234,20 @@ def languages(text: str | None, table: dict[str, tuple[float, ...]]) -> tuple[tu
     return (k, round(n / total.total() * sure / total.total(), 4)), parts
 
 
-def detect(documents: DataFrame, table: dict[str, tuple[float, ...]] | None = None) -> DataFrame:
+def detect(documents: DataFrame, table: tuple[np.ndarray, list[float]] | None = None) -> DataFrame:
     """(doc_id, seg_no, lang, confidence, named, mixed): seg_no -1 for the document, from 0 for its segments; named is the language its label names.
 
     One pass learns the words, one pass labels; only word counts are shuffled.
     """
     spark = documents.sparkSession
     words = table if table is not None else learn(documents)
-    b = spark.sparkContext.broadcast(words)  # at most VOCABULARY words
+    b = spread(spark, words)  # CELLS bytes a language
     rows = documents.select("doc_id", F.col("text"), label(F.col("lang")).alias("named"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     idt = pa.int64() if kind == "bigint" else pa.string()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = b.value
+        w = kept(Words, b)
         for batch in batches:
             out = []
             for i, t, named in zip(*(batch.column(j).to_pylist() for j in range(3))):

@@ -62,6 +62,22 @@ def plan(totals: DataFrame, targets: DataFrame, total_tokens: float | None = Non
     )
 
 
+def _fill(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Blocks in their permuted order, each if it fits what is left, and at last the one that brings the sum nearest to it, if that is nearer than none."""
+    pdf = pdf.sort_values(["h", "block"])
+    left = float(pdf["left"].iloc[0])
+    take, others = [], []
+    for i, n in enumerate(pdf["tokens"].tolist()):
+        if n <= left:
+            take.append(i)
+            left -= n
+        else:
+            others.append((n, i))
+    if others and abs(min(others)[0] - left) < left:
+        take.append(min(others)[1])
+    return pdf.iloc[take][["source", "block", "tokens", "h", "copy"]]
+
+
 def mix(
     documents: DataFrame, targets: DataFrame, total_tokens: float | None = None, seed: int = 17,
     directory: str = TOKENIZER_DIR, vocabulary: str = VOCABULARY, block_tokens: int = BLOCK_TOKENS, shard_blocks: int = SHARD_BLOCKS,
@@ -78,15 +94,15 @@ def mix(
         "block", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("n_blocks")).cast("int"))
     rec = cut(rec.drop("n_blocks"), "records")
     size = rec.groupBy("source", "block").agg(F.sum("n_tokens").alias("tokens"))
-    # permuted order of a source's blocks; epochs repeat it until the quota is met (at most MAX_BLOCKS * max_repeats rows a source)
-    w = Window.partitionBy("source").orderBy(F.xxhash64("block", F.lit(seed + 1)), "block")
-    order = size.withColumn("cum", F.sum("tokens").over(w) - F.col("tokens"))
-    epochs = order.join(F.broadcast(blocks.select("source", "quota", "available")), "source").withColumn(
-        "copy", F.explode(F.sequence(F.lit(0), F.ceil(F.col("quota") / F.col("available")).cast("int") - 1)))
-    # a block belongs to the mixture if its middle lies before the quota
-    kept = epochs.where((F.col("copy") * F.col("available") + F.col("cum") + F.col("tokens") / 2) <= F.col("quota"))
-    rank = Window.partitionBy("source").orderBy("copy", "cum", "block")
-    kept = cut(kept.select("source", "block", "copy", "tokens", (F.row_number().over(rank) - 1).alias("rank")), "kept")
+    # permuted order of a source's blocks (at most MAX_BLOCKS); whole rounds of them, then as many as fit what is left of the quota
+    order = size.join(F.broadcast(blocks.select("source", "quota", "available")), "source").withColumn("h", F.xxhash64("block", F.lit(seed + 1)))
+    rounds = order.withColumn("rounds", F.floor(F.col("quota") / F.col("available") + 1e-9).cast("int"))
+    whole_rounds = rounds.where("rounds > 0").select("source", "block", "tokens", "h", F.explode(F.sequence(F.lit(0), F.col("rounds") - 1)).alias("copy"))
+    rest = rounds.select("source", "block", "tokens", "h", F.col("rounds").alias("copy"), (F.col("quota") - F.col("rounds") * F.col("available")).alias("left"))
+    last = rest.groupBy("source").applyInPandas(_fill, "source string, block int, tokens bigint, h bigint, copy int")
+    rank = Window.partitionBy("source").orderBy("copy", "h", "block")
+    kept = whole_rounds.unionByName(last).withColumn("rank", F.row_number().over(rank) - 1)
+    kept = cut(kept.select("source", "block", "copy", "tokens", "rank"), "kept")
     quotas = {r["source"]: int(r["n"]) for r in kept.groupBy("source").agg(F.count("*").alias("n")).collect()}  # a number a target source
     names = sorted(quotas)
     q = np.array([quotas[k] for k in names], np.int64)

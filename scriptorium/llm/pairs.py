@@ -43,8 +43,9 @@ INABILITY = "无法|不能|不可|不便|cannot|can't|unable|nicht|ne peux|no pu
 OPEN = dict(zip("“‘（(【[《「『", "”’）)】]》」』"))
 CLOSE = {v: k for k, v in OPEN.items()}
 DONE = "。！？!?.．"
-#: Length (normalised) up to which what a refusal says outside quotations may go.
+#: Length (normalised) from which what a refusal says outside quotations must not be taken from the prompt, and the share of it that may be.
 REFUSAL_LENGTH = 160
+REFUSAL_COPIED = 0.3
 
 
 def normal(s: str) -> str:
@@ -127,11 +128,27 @@ class SuffixAutomaton:
         return out
 
 
+@lru_cache(maxsize=256)
+def _automaton(prompt: str) -> SuffixAutomaton:
+    """Kept for the other answers to the same prompt."""
+    return SuffixAutomaton(prompt)
+
+
+def _shares(a: str, b: str, k: int) -> bool:
+    """Some substring of k characters is in both."""
+    if len(b) < k:
+        return False
+    have = {a[i : i + k] for i in range(len(a) - k + 1)}
+    return any(b[i : i + k] in have for i in range(len(b) - k + 1))
+
+
 def coverage(prompt: str, answer: str, least: int = 12) -> tuple[float, int]:
     """The share of the normalised answer inside copies of at least `least` characters, and the longest copy."""
     if not prompt or not answer:
         return 0.0, 0
-    m = SuffixAutomaton(prompt).matches(answer)
+    if not _shares(prompt, answer, min(least, len(prompt))):
+        return 0.0, 0  # what the automaton would find nothing of
+    m = _automaton(prompt).matches(answer)
     covered, upto = 0, len(answer)
     for i in range(len(answer) - 1, -1, -1):
         if m[i] >= least:
@@ -157,13 +174,16 @@ def refusals():
     return a
 
 
-def declines(answer: str) -> bool:
-    """A refusal stands outside quotations, in an answer that says little else."""
+def declines(answer: str, prompt: str = "") -> bool:
+    """A refusal stands outside quotations, in an answer that is short or, at any length, hardly made of the prompt (normalised)."""
     rest, _ = outside_quotes(answer)
-    if len(normal(rest)) > REFUSAL_LENGTH:
-        return False
     kinds = {v for _, v in refusals().iter(unicodedata.normalize("NFKC", rest).lower().replace("’", "'"))}
-    return 2 in kinds or {0, 1} <= kinds
+    if not (2 in kinds or {0, 1} <= kinds):
+        return False
+    n = normal(rest)
+    if len(n) <= REFUSAL_LENGTH:
+        return True
+    return bool(prompt) and 2 in kinds and coverage(prompt, n, 6)[0] < REFUSAL_COPIED
 
 
 def ending_cell(s: str) -> int:
@@ -243,9 +263,9 @@ def defect(prompt: str | None, answer: str | None, ends: np.ndarray) -> tuple[st
     a = normal(text)
     if not a or a in NOTHING or (text.strip().lower().strip("()（）[]。.") in NOTHING):
         return "empty", 0.0
-    if declines(text):
-        return "refusal", 0.0
     p = normal(prompt or "")
+    if declines(text, p):
+        return "refusal", 0.0
     share = 0.0
     if len(p) >= 8:
         share, longest = coverage(p, a)

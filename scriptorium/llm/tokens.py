@@ -2,7 +2,8 @@
 
 Texts of any length are encoded exactly. Short texts go straight through the tokenizer. A long text is cut into halves
 again and again (as rows of their own, so that several tasks share one text); neighbouring encodings are then joined
-pairwise by re-encoding a window around the join that grows until its tokens agree with both sides.
+pairwise, level by level, by re-encoding a window around the join that grows until it ends, on both sides, where a piece
+of the split pattern ends in any surroundings.
 
 Defined results: a null and an empty text give an empty list; repeated rows are encoded each by itself; columns besides
 id and text are ignored.
@@ -16,18 +17,24 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from scriptorium.runtime import cut
+
 TOKENIZER_DIR = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k"
 #: Split pattern of this family of vocabularies (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: A text above this many characters is cut into rows of this size.
 LONG = 65_536
-#: Tokens that must agree on either side of a join.
-AGREE = 8
+#: Neighbouring parts of a text that one task joins; more of them are joined level by level.
+FAN = 64
+#: Places where a piece of the split pattern ends whatever stands around them: a letter, a digit or another sign before a character of another class.
+#: An apostrophe may hold on to the letters after it; white space may belong to what follows it.
+CERTAIN = regex.compile(r"(?<=\p{L})(?=[^\p{L}])|(?<=\p{N})(?=[^\p{N}])|(?<=[^\s\p{L}\p{N}'])(?=[\s\p{L}\p{N}])")
 
 _ENC: dict = {}
 
@@ -44,85 +51,72 @@ def encoder(directory: str = TOKENIZER_DIR, vocabulary: str = VOCABULARY):
     return _ENC[key]
 
 
-def _ends(enc, tokens: list[int]) -> list[int]:
-    out, n = [], 0
-    for t in enc.decode_tokens_bytes(tokens):
-        n += len(t)
-        out.append(n)
-    return out
+def _last(text: str, window: int = 256) -> int:
+    """The last certain end of a piece inside the text, 0 if there is none: windows at its end grow until they hold one."""
+    while True:
+        lo = max(0, len(text) - window)
+        at = [m.start() for m in CERTAIN.finditer(text, lo)]
+        at = [i for i in at if i > lo]  # both neighbours lie in the window
+        if at or lo == 0:
+            return at[-1] if at else 0
+        window *= 2
 
 
-def join_encoded(enc, a: str, ta: list[int], b: str, tb: list[int], window: int = 256, agree: int = AGREE) -> list[int]:
-    """Tokens of a + b from the tokens of a and of b: the window around the join is doubled until both sides agree."""
-    if not a or not b:
-        return tb if not a else ta
+def _first(text: str, window: int = 256) -> int:
+    """The first certain end of a piece inside the text, its length if there is none."""
     while True:
-        if window >= max(len(a), len(b)):
-            return enc.encode_ordinary(a + b)
-        left, right = a[-window:], b[:window]
-        tw = enc.encode_ordinary(left + right)
-        nl, nr = len(left.encode()), len(right.encode())
-        # byte offsets of token ends, measured from the start of the window
-        suffix = []
-        at = nl
-        for t in reversed(ta):
-            suffix.append((at, t))
-            at -= len(enc.decode_single_token_bytes(t))
-            if at < 0:
-                break
-        suffix.reverse()
-        prefix, at = [], nl
-        for t in tb:
-            at += len(enc.decode_single_token_bytes(t))
-            if at > nl + nr:
-                break
-            prefix.append((at, t))
-        ends = _ends(enc, tw)
-        mine = {(e, t): i for i, (e, t) in enumerate(zip(ends, tw))}
-        # left: the last run of `agree` tokens that the window shares with a
-        cut_l = cut_r = None
-        run, last = 0, None
-        for j, (e, t) in enumerate(suffix):
-            i = mine.get((e, t)) if e <= nl else None
-            run = run + 1 if i is not None and (last is None or i == last + 1) else (1 if i is not None else 0)
-            last = i
-            if run >= agree:
-                cut_l = (len(ta) - (len(suffix) - j - 1), i + 1)
-                break
-        # right: a run of `agree` tokens shared with b; what follows the first of them is b's own
-        run, last = 0, None
-        for j, (e, t) in enumerate(prefix):
-            i = mine.get((e, t))
-            run = run + 1 if i is not None and (last is None or i == last + 1) else (1 if i is not None else 0)
-            last = i
-            if run >= agree:
-                cut_r = (j + 1, i + 1)
-                break
-        if cut_l and cut_r and cut_l[1] <= cut_r[1]:
-            return ta[: cut_l[0]] + tw[cut_l[1] : cut_r[1]] + tb[cut_r[0] :]
+        hi = min(len(text), window)
+        m = next((m for m in CERTAIN.finditer(text[:hi]) if 0 < m.start() < hi), None)
+        if m or hi == len(text):
+            return m.start() if m else hi
         window *= 2
 
 
-def join_all(enc, parts: list[tuple[str, list[int]]], agree: int = AGREE) -> list[int]:
+def _tokens_of(enc, tokens, size: int, from_end: bool) -> int:
+    """How many tokens, from one end, make up so many bytes."""
+    n = k = 0
+    for t in reversed(tokens) if from_end else tokens:
+        if n >= size:
+            break
+        n += len(enc.decode_single_token_bytes(t))
+        k += 1
+    return k
+
+
+def join_encoded(enc, a: str, ta: list[int], b: str, tb: list[int]) -> list[int]:
+    """Tokens of a + b from the tokens of a and of b, exactly.
+
+    The window around the join grows on either side to a place where a piece of the split pattern ends in a, in b and in a + b alike; pieces are encoded
+    each by itself, so that both sides agree with the whole beyond the window and only the window is encoded again.
+    """
+    if not a or not b:
+        return tb if not a else ta
+    i, j = _last(a), _first(b)
+    left = _tokens_of(enc, ta, len(a[i:].encode("utf-8", "replace")), True)
+    right = _tokens_of(enc, tb, len(b[:j].encode("utf-8", "replace")), False)
+    return [*ta[: len(ta) - left], *enc.encode_ordinary(a[i:] + b[:j]), *tb[right:]]
+
+
+def join_all(enc, parts: list[tuple[str, list[int]]]) -> list[int]:
     """Pairwise tree over neighbouring parts."""
     while len(parts) > 1:
         nxt = []
         for i in range(0, len(parts) - 1, 2):
             (a, ta), (b, tb) = parts[i], parts[i + 1]
-            nxt.append((a + b, join_encoded(enc, a, ta, b, tb, agree=agree)))
+            nxt.append((a + b, join_encoded(enc, a, ta, b, tb)))
         if len(parts) % 2:
             nxt.append(parts[-1])
         parts = nxt
     return parts[0][1] if parts else []
 
 
-def encode_text(text: str | None, enc, long: int = LONG, agree: int = AGREE) -> list[int]:
+def encode_text(text: str | None, enc, long: int = LONG) -> list[int]:
     """One text, by halves where it is long."""
     if not text:
         return []
     if len(text) <= long:
         return enc.encode_ordinary(text)
-    return join_all(enc, [(text[i : i + long], enc.encode_ordinary(text[i : i + long])) for i in range(0, len(text), long)], agree)
+    return join_all(enc, [(text[i : i + long], enc.encode_ordinary(text[i : i + long])) for i in range(0, len(text), long)])
 
 
 def _encode_batches(directory: str, vocabulary: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -146,23 +140,32 @@ def encode(
     short = rows.where(~is_long).mapInArrow(_encode_batches(directory, vocabulary), f"k {kind}, ids array<int>")
     # a repeated id keeps its rows apart
     big = rows.where(is_long).withColumn("u", F.monotonically_increasing_id())
-    pieces = big.select(
-        "k", "u", F.explode(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / long).cast("int"))).alias("seq"), "text"
-    ).select("k", "u", "seq", F.col("text").substr(F.col("seq") * long + 1, F.lit(long)).alias("piece"))
-    coded = (
-        pieces.withColumn("text", F.col("piece"))
-        .repartition("u", "seq")
-        .mapInArrow(_encode_batches(directory, vocabulary), f"k {kind}, u bigint, seq int, piece string, ids array<int>")
-    )
-
-    def merge(pdf):
+
+    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, t in enumerate(b.column(2).to_pylist()):
+                for at in range(0, len(t), long * FAN):  # a batch for each stretch: pieces are never all in memory beside the text
+                    pieces = [t[j : j + long] for j in range(at, min(len(t), at + long * FAN), long)]
+                    n = len(pieces)
+                    yield pa.RecordBatch.from_arrays([pa.array([b.column(0)[i].as_py()] * n, b.column(0).type), pa.array([b.column(1)[i].as_py()] * n, pa.int64()), pa.array(range(at // long, at // long + n), pa.int32()), pa.array(pieces, pa.string())], names=["k", "u", "seq", "piece"])
+
+    pieces = big.select("k", "u", "text").mapInArrow(cut_up, f"k {kind}, u bigint, seq int, piece string")
+    schema = f"k {kind}, u bigint, seq int, piece string, ids array<int>"
+    coded = cut(pieces.withColumn("text", F.col("piece")).repartition("u", "seq").mapInArrow(_encode_batches(directory, vocabulary), schema), "coded")
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         enc = encoder(directory, vocabulary)
         pdf = pdf.sort_values("seq")
-        ids = join_all(enc, [(p, list(map(int, i))) for p, i in zip(pdf["piece"], pdf["ids"])])
-        return pd.DataFrame({"k": [pdf["k"].iloc[0]], "ids": [ids]})
-
-    merged = coded.groupBy("u").applyInPandas(merge, f"k {kind}, ids array<int>")
-    return short.unionByName(merged).withColumnRenamed("k", id_col)
+        ids = join_all(enc, [(p, i.tolist()) for p, i in zip(pdf["piece"], pdf["ids"])])
+        return pd.DataFrame({"k": [pdf["k"].iloc[0]], "u": [pdf["u"].iloc[0]], "seq": [int(pdf["seq"].iloc[0]) // FAN], "piece": ["".join(pdf["piece"])], "ids": [ids]})
+
+    most = coded.agg(F.max("seq")).first()[0] or 0
+    while most > 0:
+        coded = coded.groupBy("u", F.floor(F.col("seq") / FAN)).applyInPandas(merge, schema)
+        most //= FAN
+        if most > 0:
+            coded = cut(coded, "joined")
+    return short.unionByName(coded.select("k", "ids")).withColumnRenamed("k", id_col)
 
 
 def count_tokens(documents: DataFrame, text_col: str = "text", out: str = "n_tokens", directory: str = TOKENIZER_DIR, vocabulary: str = VOCABULARY) -> DataFrame:

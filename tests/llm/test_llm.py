@@ -316,6 +316,13 @@ def test_defects(spark):
     assert pairs.judge(df.limit(0)).count() == 0
 
 
+def test_refusals_of_any_length():
+    prompt = pairs.normal(ZH)
+    long_one = "抱歉，我无法改写这段文字。" + "".join(f"原因之{i}是这类请求需要由另外的人员核实之后才能继续办理。" for i in range(20))
+    assert pairs.declines(long_one, prompt) and not pairs.declines(ZH * 3 + "企业无法处理的部分另作说明。", prompt)
+    assert pairs.coverage("甲乙丙丁戊己庚辛壬癸子丑", "完全不同的文字没有任何相同") == (0.0, 0)
+
+
 # encoding -------------------------------------------------------------------------------------------------------------
 def test_encoding(spark):
     clean = [ZH, EN, ZH + "“façade”与“naïve”两词沿用外文，显著性水平取α=0.05，温度4℃。"] * 60
@@ -330,6 +337,15 @@ def test_encoding(spark):
     assert encoding.restore(spark.createDataFrame(rows, "row_id long, text string").limit(0)).count() == 0
 
 
+def test_long_stretches_are_searched(spark):
+    t = "关于渠道结构能否间接影响投诉办结时间"
+    df = spark.createDataFrame([(i, ZH) for i in range(50)], "row_id long, text string")
+    m = lm.PairModel(*lm.pair_table(df))
+    items = [b if k % 7 else -1 for k, b in enumerate(t.encode())]
+    got = encoding.read_utf8(items, m)
+    assert sum(c in t for c in got) >= 0.7 * len(t)
+
+
 def test_lost_bytes_are_guessed():
     texts = [ZH] * 50
     a, _ = lm.joined(texts)
@@ -361,6 +377,19 @@ def test_joined_encodings_are_exact():
         assert tokens.encode_text(s, enc, long=r.choice([120, 333, 900])) == enc.encode_ordinary(s)
 
 
+def test_joins_hold_against_hard_texts(spark):
+    enc = tokens.encoder()
+    r = random.Random(8)
+    bits = ["'s", "'", "s", "'ll", " ", "  ", "\t", "\n", "\r\n", "a", "aaaa", "Ａ", "1", "²", "é", "e\u0301", "，", "。", "…", "_", "-", "😀", "的", "the", "\u00a0", "\u3000", "'re"]
+    for _ in range(400):
+        s = "".join(r.choice(bits) for _ in range(60))
+        i = r.randint(0, len(s))
+        assert tokens.join_encoded(enc, s[:i], enc.encode_ordinary(s[:i]), s[i:], enc.encode_ordinary(s[i:])) == enc.encode_ordinary(s)
+    df = spark.createDataFrame([(1, "a" * 3000), (2, " " * 3000), (3, "ab " * 3000), (4, "的" * 3000)], "doc_id long, text string")
+    # several levels of joins
+    assert {x["doc_id"]: list(x["ids"]) for x in tokens.encode(df, long=20).collect()} == {x["doc_id"]: enc.encode_ordinary(x["text"]) for x in df.collect()}
+
+
 # mixing ---------------------------------------------------------------------------------------------------------------
 def test_mixing(spark):
     docs = [(i, "a" if i % 3 else "b", EN) for i in range(900)] + [(5000, None, EN), (5001, "zz", EN), (5002, "a", None), (5003, "a", "")]
@@ -376,6 +405,15 @@ def test_mixing(spark):
     assert len({(x["shard"], x["position"]) for x in rows}) == len(rows)
 
 
+def test_mixing_with_one_giant_text(spark):
+    docs = [(i, "a", EN) for i in range(300)] + [(1000 + i, "b", EN) for i in range(100)] + [(2000, "b", EN * 90)]
+    df = spark.createDataFrame(docs, "doc_id long, source string, text string")
+    t = spark.createDataFrame([("a", 0.8, 1), ("b", 0.2, 1)], "source string, target_share double, max_repeats int")
+    for seed in range(3):
+        _, rep = mixing.mix(df, t, seed=seed, block_tokens=200, shard_blocks=8)
+        assert all(abs(x["actual_share"] - x["target_share"]) < 0.01 for x in rep.collect())
+
+
 def test_splitting_tree_is_exact():
     q = np.array([70, 13, 0, 41])
     shards = 9

@@ -1,8 +1,9 @@
 """Variant spellings of names typed by people (problem 4).
 
-Every distinct string is a profile. Schools and majors are blocked by the registry entities they may abbreviate, translate
-or misspell; a string that matches lends its spelling to the profile, and the richer profiles meet the strings still
-open, round by round, until no further merge occurs. Authors are blocked by the Latin reading of their names; inside a
+Every distinct string is a profile. Schools and majors begin with the registry's official names and nothing else; a string matches
+a spelling it abbreviates (some of its characters in order, or a part), puts in another order, translates word by word or misspells by a
+character, and the initials of a spelling in words. What matches lends its spelling and initials to the profile, and the richer profiles
+re-enter blocking and meet the strings still open, round by round, until no further merge occurs. Authors are blocked by the Latin reading of their names; inside a
 block profiles merge when they share a written name or a school, the union of their spellings and schools meets the rest
 again, until nothing merges.
 
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -28,27 +30,23 @@ from scriptorium.runtime import cut
 TRADITIONAL = str.maketrans("學碩會計遊營銷場務經濟業與術財務項統係師範農漢華圖書館電腦網絡機構廣東蘇灣臺貿語習教導護醫藥鐵鋼礦", "学硕会计游营销场务经济业与术财务项统系师范农汉华图书馆电脑网络机构广东苏湾台贸语习教导护医药铁钢矿")
 #: Characters taken for one another by shape or sound.
 ALIKE = "沧苍仓 穹穷 暮幕墓慕 岭领 澜斓谰兰 岚蓝兰 梧吾悟 潮朝 溪奚 山汕 墟虚 泊柏 绛降 朔溯 泠冷玲 屿与 岬胛 澄澂 埠阜 理里 商尚 经金 范犯 林淋 通同 大太 硕顾 管菅 计记 场埸 资姿 流硫 系糸 目日 术木 融溶 共供 及与"
-#: Kinds of schools, how they are shortened, and the words of their English names.
-KINDS = {
-    "财经大学": (("财经", "财大", "财经大"), {"finance", "economics"}), "工商大学": (("工商", "工商大"), {"technology", "business"}),
-    "理工大学": (("理工", "理工大"), {"science", "technology"}), "师范大学": (("师范", "师大", "师范大"), {"normal"}),
-    "农林大学": (("农林", "农大", "农林大"), {"agriculture", "forestry"}), "交通大学": (("交通", "交大"), {"jiaotong"}),
-    "管理学院": (("管理", "管院"), {"management", "institute"}), "大学": (("大",), set()),
-}
 #: Latin readings of the characters in place names.
 PLACES = dict(zip("澄湖云埠临澜北屿青岬沧原岚川栖梧望潮远溪霁山玄岭暮锦丹墟枫泊绛河穹朔洲泠州", "cheng hu yun bu lin lan bei yu qing jia cang yuan lan chuan qi wu wang chao yuan xi ji shan xuan ling mu jin dan xu feng bo jiang he qiong shuo zhou leng zhou".split()))
-#: Short and foreign forms of majors.
-MAJORS = {
-    "工商管理硕士": "mba|m.b.a.|master of business administration|工商管理专硕|硕士(工商管理)|工商管理硕士(mba)|工商管理",
-    "高级管理人员工商管理硕士": "emba|e.m.b.a.|executive mba|executive master of business administration|高管工商管理硕士|高级工商管理硕士|高级管理人员工商管理硕士(emba)|高管mba",
-    "会计学": "会计|accounting|accountancy|会计专业|会计硕士|mpacc", "市场营销": "市场营销学|marketing|市场行销|营销(市场)|营销|市场营销专业|营销学",
-    "物流工程与管理": "物流管理与工程|物流工程|物流管理|logistics engineering|logistics engineering and management|logistics",
-    "人力资源管理": "人力资源|人资管理|人资|hrm|hr|human resource management|human resources management|human resources",
-    "项目管理": "工程项目管理|project management|pm|pm(项目管理)|项目管理专业", "技术经济及管理": "技术经济与管理|技经管理|技术经济|technical economics and management|technology economics and management",
-    "旅游管理": "旅游管理专业|mta|tourism management|旅游|旅游管理硕士", "金融学": "金融|finance|金融专业|金融硕士|mf",
-    "公共管理": "公共管理硕士|mpa|公管|public administration|公共管理专业|public management",
-    "信息管理与信息系统": "信管|信息系统与信息管理|information management and systems|information management and information systems|mis|信息管理",
-}
+#: What words in names of schools and majors mean, as ideographs; titles of degrees stand for the names they abbreviate.
+GLOSSARY = {
+    k: v.split("/")
+    for k, v in (
+        x.split("=")
+        for x in (
+            "university=大学 univ=大学 institute=学院 inst=学院 college=学院 school=学院 finance=财/金融 economics=经济/经/济 economic=经济 science=理/科学 technology=技术/工 technical=技术 business=商/工商 normal=师范 "
+            "agriculture=农 agricultural=农 forestry=林 jiaotong=交通 management=管理 administration=管理 accounting=会计 accountancy=会计 marketing=市场营销/营销 human=人力/人 resource=资源 resources=资源 "
+            "project=项目 tourism=旅游 logistics=物流 engineering=工程 public=公共 information=信息 system=系统 systems=系统 executive=高级管理人员/高级 master=硕士 science=理 "
+            "mba=工商管理硕士 emba=高级管理人员工商管理硕士 mpa=公共管理 mta=旅游管理 mpacc=会计 mf=金融 mis=信息管理/信息系统"
+        ).split()
+    )
+}
+#: Words that mean nothing by themselves.
+EMPTY_WORDS = frozenset("of and in for the a an on".split())
 
 
 def alike() -> set[tuple[str, str]]:
@@ -72,62 +70,124 @@ def _near(a: str, b: str, pairs: set[tuple[str, str]]) -> float:
     return 0.5 if d[0] in pairs else 1.0
 
 
-def school_forms(official: str) -> set[str]:
-    """Spellings a school's official name gives by rule."""
-    for kind, (short, words) in KINDS.items():
-        if official.endswith(kind):
-            place = official[: -len(kind)]
-            out = {official, place + kind}
-            for p in {place, place[:1]}:
-                out |= {p + s for s in (kind, *short)}
-            read = "".join(PLACES.get(c, "?") for c in place)
-            out.add("en:" + read + ":" + ",".join(sorted(words)))
-            return {x for x in out if len(x) > 1}
-    return {official}
+HAN = re.compile("[㐀-鿿]+")
+LATIN_WORDS = re.compile(r"[a-z]+")
+
+
+def is_latin(s: str) -> bool:
+    return sum(c.isascii() and c.isalpha() for c in s) > 0.6 * len(re.sub(r"\W", "", s) or "x")
+
+
+def latin_words(s: str) -> str:
+    """Words of a name in the Latin alphabet, in order, abbreviations with dots in one."""
+    t = re.sub(r"\b((?:[a-z]\.){2,})", lambda m: m.group().replace(".", ""), unicodedata.normalize("NFKC", s).lower())
+    return " ".join(w for w in LATIN_WORDS.findall(t) if w not in EMPTY_WORDS)
 
 
 def school_core(s: str) -> str:
-    """A school's name without its departments; English names by their place and kind."""
+    """A school's name without its departments."""
     raw = unicodedata.normalize("NFKC", s).strip()
-    if sum(c.isascii() and c.isalpha() for c in raw) > 0.6 * len(re.sub(r"\W", "", raw) or "x"):
-        words = re.findall(r"[a-z]+", raw.lower())
-        inst = any(w in ("inst", "institute", "college", "school") for w in words)
-        kinds = {x for _, ws in KINDS.values() for x in ws} - {"institute"}
-        known = {w for w in words if w in kinds}
-        if inst and "management" in known:
-            known = {"management", "institute"}
-        place = [w for w in words if w not in kinds and w not in ("univ", "university", "of", "and", "inst", "institute", "the", "college", "school")]
-        return "en:" + "".join(place) + ":" + ",".join(sorted(known))
+    if is_latin(raw):
+        return latin_words(raw)
     t = folded(raw)
     m = re.fullmatch(r"(.+?)\((.+?)\)", t)
     if m:
         head, inner = m.groups()
-        t = inner + head if len(inner) <= 3 and not re.search("中心|学院|系|部|mba", inner) and re.match("大|" + "|".join(k[:2] for k in KINDS), head) else head
+        # a place put behind, or a department
+        t = inner + head if len(inner) <= 3 and not re.search("中心|学院|系|部|[a-z]", inner) and (len(head) > len(inner) or head in ("大学", "学院")) else head
     i = min((j for j in (t.find("大学"), t.find("学院")) if j > 0), default=-1)
     return t[: i + 2] if i > 0 else t
 
 
 def major_core(s: str) -> str:
-    return folded(s) if not s.isascii() else re.sub(r"\s+", " ", s.strip().lower())
+    return latin_words(s) if is_latin(s) else re.sub(r"[()]", "", folded(s))
 
 
-def keys(f: str) -> list[str]:
-    """Where spellings near this one are found."""
-    if f.startswith("en:"):
-        place, _, kind = f[3:].partition(":")
-        return [f"k:{kind}"]
-    # a string of three characters with a wrong one in the middle shares its ends only
-    return [f"{len(f)}:{i}:{f[i : i + 2]}" for i in range(0, len(f) - 1)] + ([f"3::{f[0]}{f[2]}"] if len(f) == 3 else [])
+def reading(name: str) -> str:
+    """How a name begins when its place is written in Latin letters: the readings of its characters as far as they are known."""
+    out = ""
+    for c in name:
+        if c not in PLACES:
+            break
+        out += PLACES[c]
+    return out
+
+
+def meaning(words: list[str], official: str) -> float | None:
+    """The share of an official name that words in the Latin alphabet stand for; none if one of them stands for nothing in it. A place may be misspelt a little, for a tenth each."""
+    place = reading(official)
+    hit = [False] * len(official)
+    wrong = 0
+    n_place = next((i for i, c in enumerate(official) if c not in PLACES), len(official)) if place else 0
+    for w in words:
+        found = False
+        for t in GLOSSARY.get(w, ()):
+            i = official.find(t)
+            if i >= 0:
+                found = True
+                hit[i : i + len(t)] = [True] * len(t)
+                break
+        if not found and place and (e := _edits(w, place)) <= (1 if len(place) < 7 else 2):
+            found = True
+            wrong += e
+            hit[:n_place] = [True] * n_place
+        if not found:
+            return None
+    if place and not hit[0]:
+        return None
+    return sum(hit) / len(hit) - 0.1 * wrong
+
+
+def abbreviates(a: str, b: str) -> bool:
+    """The characters of a are some of b's, in order, from the first on."""
+    it = iter(b)
+    return a[0] == b[0] and all(c in it for c in a)
+
+
+def keys(f: str, lent: bool) -> list[str]:
+    """Where spellings near this one are found; those a profile has are found by more keys than the string that looks for one."""
+    if not HAN.search(f):
+        return [f"w:{w}" for w in f.split()] + [f"i:{''.join(w[0] for w in f.split())}" if " " in f else f"i:{f}"]
+    out = [f"b:{f[i : i + 2]}" for i in range(len(f) - 1)] + [f"m:{''.join(sorted(f))}"]
+    # abbreviations share the first character and some later one
+    out += [f"a:{f[0]}{c}" for c in dict.fromkeys(f[1:] if lent else f[1:2])]
+    # a short string with a wrong character may share no two neighbours
+    out += [f"e:{f[:i]}?{f[i + 1 :]}" for i in range(len(f))] if 3 <= len(f) <= 6 else []
+    han = "".join(HAN.findall(f))
+    if han != f and len(han) >= 2 and not lent:
+        out.append(f"a:{han[:2]}")
+    if lent:
+        out += [f"w:{w}" for w, ts in GLOSSARY.items() if any(t in f for t in ts)] + ([f"w:{reading(f)}"] if reading(f) else [])
+    return out
 
 
 def distance(core: str, f: str, pairs: set[tuple[str, str]]) -> float:
     """Of a string from a spelling: below 0 for the same, under 2 if they may mean the same."""
     if core == f:
         return -1.0
-    if core.startswith("en:"):
-        d = _edits(core[3:].split(":")[0], f[3:].split(":")[0]) if f.startswith("en:") else 9
-        return 0.5 * d if d <= 2 else 9.0
-    return _near(core, f, pairs) if len(f) >= 4 or (len(f) == len(core) == 3) else 9.0
+    latin = not HAN.search(core)
+    if not HAN.search(f):
+        # initials of a spelling in words, or a word or two misspelt
+        if latin and " " in f and core == "".join(w[0] for w in f.split()):
+            return 0.2
+        return 0.8 if latin and len(core) > 6 and _edits(core, f) <= 1 else 9.0
+    if latin:
+        m = meaning(core.split(), f)
+        return 1.2 - m if m is not None and m >= 0.5 else 9.0
+    gap = 0.01 * abs(len(core) - len(f))
+    if len(core) >= 3 and sorted(core) == sorted(f):
+        return 0.2
+    han = "".join(HAN.findall(core))
+    if 2 <= len(core) < len(f) and abbreviates(core, f):
+        return 0.3 + gap
+    if han != core and 2 <= len(han) < len(f) and abbreviates(han, f):
+        return 0.35 + gap
+    if len(core) >= 2 and core in f:
+        return 0.4 + gap
+    if len(f) >= 2 and f in core:
+        return 0.5 + gap
+    d = _near(core, f, pairs) if len(f) >= 4 or (len(f) == len(core) == 3) else 9.0
+    return 0.25 if d == 0.5 else d
 
 
 def _edits(a: str, b: str) -> int:
@@ -141,27 +201,32 @@ def _edits(a: str, b: str) -> int:
     return row[-1]
 
 
-def _keyed(df: DataFrame, schema: str) -> DataFrame:
+#: A key of more spellings than this share of the registry tells nothing apart: it is none.
+COMMON_KEY = 0.2
+
+
+def _keyed(df: DataFrame, schema: str, lent: bool, common: list[str]) -> DataFrame:
     """Rows once for each block key of their column core, and once for the string itself."""
+    drop = frozenset(common)
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            yield pdf.assign(key=[list(dict.fromkeys([f"={c}", *keys(c)])) for c in pdf["core"]]).explode("key")
+            yield pdf.assign(key=[list(dict.fromkeys([f"={c}", *(k for k in keys(c, lent) if k not in drop)])) for c in pdf["core"]]).explode("key")
 
     return df.mapInPandas(run, f"{schema}, key string")
 
 
-def _matched(cores: DataFrame, forms: DataFrame) -> DataFrame:
+def _matched(cores: DataFrame, forms: DataFrame, common: list[str]) -> DataFrame:
     """(core, e, d): the entity each string is nearest to, if it is one, and how near; forms has e and core, the spellings of entities."""
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pairs = alike()
         for pdf in it:
-            pdf = pdf.assign(d=[distance(c, f, pairs) for c, f in zip(pdf["core"], pdf["form"])])
+            pdf = pdf.assign(d=[round(distance(c, f, pairs), 3) for c, f in zip(pdf["core"], pdf["form"])])
             yield pdf.loc[pdf["d"] < 2.0, ["core", "e", "d"]]
 
-    at = _keyed(forms.select("e", "core"), "e bigint, core string").withColumnRenamed("core", "form")
-    near = _keyed(cores.select("core"), "core string").join(at, "key").select("core", "e", "form").mapInPandas(run, "core string, e bigint, d double")
+    at = _keyed(forms.select("e", "core"), "e bigint, core string", True, common).withColumnRenamed("core", "form")
+    near = _keyed(cores.select("core"), "core string", False, common).join(at, "key").select("core", "e", "form").mapInPandas(run, "core string, e bigint, d double")
     best = near.groupBy("core", "e").agg(F.min("d").alias("d")).groupBy("core", "d").agg(F.count("*").alias("n"), F.min("e").alias("e"))
     return best.groupBy("core").agg(F.min(F.struct("d", "n", "e")).alias("b")).where("b.n = 1").select("core", "b.e", "b.d")
 
@@ -173,12 +238,10 @@ def resolve_registered(values: DataFrame, registry: DataFrame, kind: str) -> Dat
     """
     spark = values.sparkSession
     official = {r["entity_id"]: r["official_name"] for r in registry.where(F.col("kind") == kind).collect()}  # a fixed table
-    first = []
-    for e, o in official.items():
-        if kind == "school":
-            first += [(e, f) for f in school_forms(o)]
-        else:
-            first += [(e, f) for f in {major_core(o), *(major_core(x) for x in MAJORS.get(o, "").split("|") if x)}]
+    names_of = school_core if kind == "school" else major_core
+    first = [(e, names_of(o)) for e, o in official.items() if o and names_of(o)]
+    often = Counter(k for _, f in first for k in set(keys(f, True)) if k[:2] in ("b:", "a:"))
+    common = [k for k, n in often.items() if n > max(3, COMMON_KEY * len(first))]
     core = school_core if kind == "school" else major_core
 
     def cored(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -190,7 +253,7 @@ def resolve_registered(values: DataFrame, registry: DataFrame, kind: str) -> Dat
     left = names.select("core").distinct()
     done = spark.createDataFrame([], "core string, e bigint")
     while official:
-        new = cut(_matched(left, forms), "matched")
+        new = cut(_matched(left, forms, common), "matched")
         done = done.unionByName(new.select("core", "e"))
         lent = new.where("d >= 0").select("e", "core")
         if lent.isEmpty():
@@ -200,9 +263,6 @@ def resolve_registered(values: DataFrame, registry: DataFrame, kind: str) -> Dat
     return names.join(done, "core", "left").select("name", F.coalesce(F.concat(F.lit(f"{kind}:"), F.col("e").cast("string")), F.concat(F.lit("own:"), F.col("core"))).alias("entity"))
 
 
-HAN = re.compile("[㐀-鿿]+")
-
-
 def author_core(s: str) -> str | None:
     """The name in ideographs, without spaces, dots, remarks and nicknames."""
     t = re.sub(r"[\s·•・.]+", "", unicodedata.normalize("NFKC", s))

@@ -258,6 +258,15 @@ def test_names_lend_until_nothing_merges(spark):
     assert {got[x] for x in chain} == {"school:1"} and got["无名天文大学"] == got["无名天文大学 "] == "own:无名天文大学"
 
 
+def test_names_match_again_with_what_merging_gave(spark):
+    registry = spark.createDataFrame([(1, "major", "会计学"), (2, "major", "人力资源管理"), (3, "major", "金融学")], "entity_id int, kind string, official_name string")
+    resolve = lambda xs: {r["name"]: r["entity"] for r in names.resolve_registered(spark.createDataFrame([(x,) for x in xs], "name string"), registry, "major").collect()}
+    # neither is near the official name; each is near a spelling that an earlier round merged
+    got = resolve(["会计", "会计硕士", "Human Resource Management", "HRM", "金融"])
+    assert got == {"会计": "major:1", "会计硕士": "major:1", "Human Resource Management": "major:2", "HRM": "major:2", "金融": "major:3"}
+    assert resolve(["会计硕士", "HRM"]) == {"会计硕士": "own:会计硕士", "HRM": "own:hrm"}
+
+
 # quality --------------------------------------------------------------------------------------------------------------
 def test_quality(spark):
     r = random.Random(3)

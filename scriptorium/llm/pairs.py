@@ -50,7 +50,10 @@ REFUSAL_COPIED = 0.3
 
 def normal(s: str) -> str:
     """Letters and digits only, in one case and width."""
-    return "".join(c for c in unicodedata.normalize("NFKC", s).lower() if c.isalnum())
+    return NEITHER.sub("", unicodedata.normalize("NFKC", s).lower())
+
+
+NEITHER = re.compile(r"[\W_]+")
 
 
 def bare(s: str) -> str:
@@ -66,20 +69,29 @@ def outside_quotes(s: str) -> tuple[str, bool]:
     """Text outside quotation marks, by a stack of delimiters; and whether one is left open."""
     stack: list[str] = []
     out = []
-    for i, c in enumerate(s):
+    at = quoted = 0
+    for m in DELIMITER.finditer(s):
+        i, c = m.start(), m.group()
+        if not quoted:
+            out.append(s[at:i])
+        at = i + 1
         if c == "’" and i and s[i - 1].isalpha() and i + 1 < len(s) and s[i + 1].isalpha():
             out.append("'")  # an apostrophe
         elif c in OPEN:
             stack.append(c)
-        elif c in CLOSE:
+        else:
             while stack:
                 if stack.pop() == CLOSE[c]:
                     break
-        elif not any(q in "“‘「『" for q in stack):
-            out.append(c)
+        quoted = any(q in "“‘「『" for q in stack)
+    if not quoted:
+        out.append(s[at:])
     return "".join(out), bool(stack)
 
 
+DELIMITER = re.compile("[" + re.escape("".join(OPEN) + "".join(CLOSE)) + "]")
+
+
 class SuffixAutomaton:
     """All substrings of a text; states are built online, transitions are dicts."""
 
@@ -175,15 +187,23 @@ def refusals():
 
 
 def declines(answer: str, prompt: str = "") -> bool:
-    """A refusal stands outside quotations, in an answer that is short or, at any length, hardly made of the prompt (normalised)."""
+    """A refusal stands outside quotations, in an answer that is short or, at any length, begins with one and is hardly made of the prompt (normalised)."""
+    hits = list(refusals().iter(unicodedata.normalize("NFKC", answer).lower().replace("’", "'")))
+    kinds = {v for _, v in hits}
+    if not (2 in kinds or {0, 1} <= kinds):
+        return False
     rest, _ = outside_quotes(answer)
-    kinds = {v for _, v in refusals().iter(unicodedata.normalize("NFKC", rest).lower().replace("’", "'"))}
+    said = unicodedata.normalize("NFKC", rest).lower().replace("’", "'")
+    hits = list(refusals().iter(said))
+    kinds = {v for _, v in hits}
     if not (2 in kinds or {0, 1} <= kinds):
         return False
     n = normal(rest)
     if len(n) <= REFUSAL_LENGTH:
         return True
-    return bool(prompt) and 2 in kinds and coverage(prompt, n, 6)[0] < REFUSAL_COPIED
+    # in a long answer a refusal is a phrase of whole words near its start
+    whole = any(v == 2 and end < REFUSAL_LENGTH and not (said[end].isalpha() and said[end] < "\u2e80" and said[end + 1 : end + 2].isalpha()) for end, v in hits)
+    return whole and bool(prompt) and coverage(prompt, n, 6)[0] < REFUSAL_COPIED
 
 
 def ending_cell(s: str) -> int:

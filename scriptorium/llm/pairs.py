@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -96,33 +97,38 @@ class SuffixAutomaton:
     """All substrings of a text; states are built online, transitions are dicts."""
 
     def __init__(self, text: str):
-        self.next: list[dict[str, int]] = [{}]
-        self.link = [-1]
-        self.len = [0]
+        nxt: list[dict[str, int]] = [{}]
+        link, size = [-1], [0]
         last = 0
-        for ch in text:
-            cur = len(self.next)
-            self.next.append({})
-            self.len.append(self.len[last] + 1)
-            self.link.append(0)
+        for n, ch in enumerate(text, 1):
+            cur = len(nxt)
+            nxt.append({})
+            size.append(n)
             p = last
-            while p >= 0 and ch not in self.next[p]:
-                self.next[p][ch] = cur
-                p = self.link[p]
-            if p >= 0:
-                q = self.next[p][ch]
-                if self.len[q] == self.len[p] + 1:
-                    self.link[cur] = q
+            while p >= 0:
+                t = nxt[p]
+                if ch in t:
+                    break
+                t[ch] = cur
+                p = link[p]
+            if p < 0:
+                link.append(0)
+            else:
+                q = t[ch]
+                if size[q] == size[p] + 1:
+                    link.append(q)
                 else:
-                    clone = len(self.next)
-                    self.next.append(dict(self.next[q]))
-                    self.len.append(self.len[p] + 1)
-                    self.link.append(self.link[q])
-                    while p >= 0 and self.next[p].get(ch) == q:
-                        self.next[p][ch] = clone
-                        p = self.link[p]
-                    self.link[q] = self.link[cur] = clone
+                    clone = cur + 1
+                    link.append(clone)
+                    nxt.append(nxt[q].copy())
+                    size.append(size[p] + 1)
+                    link.append(link[q])
+                    link[q] = clone
+                    while p >= 0 and nxt[p].get(ch) == q:
+                        nxt[p][ch] = clone
+                        p = link[p]
             last = cur
+        self.next, self.link, self.len = nxt, link, size
 
     def matches(self, text: str) -> list[int]:
         """For each position of text the length of the longest substring of the automaton's text that ends there."""
@@ -212,13 +218,18 @@ def ending_cell(s: str) -> int:
     return xxhash.xxh3_64_intdigest(s) >> 42
 
 
+ENDING = re.compile(r"(\w\w\w|[^\W\d_]+|\d[%％])(?=[。！？.!?])")
+
+
 def _endings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of the three characters (or the word) before a sentence ends, and of the same three in any place, in one table each half."""
     total = np.zeros(CELLS, np.int64)
     for b in batches:
+        c: Counter = Counter()
         for t in b.column(0).to_pylist():
-            for m in re.finditer(r"(\w\w\w|[^\W\d_]+|\d[%％])(?=[。！？.!?])", t):
-                total[ending_cell(m.group(1)[-3:])] += 1
+            c.update([w[-3:] for w in ENDING.findall(t)])
+        for w, n in c.items():
+            total[ending_cell(w)] += n
     at = np.nonzero(total)[0]
     if len(at):
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["cell", "n"])

@@ -218,7 +218,23 @@ def ending_cell(s: str) -> int:
     return xxhash.xxh3_64_intdigest(s) >> 42
 
 
-ENDING = re.compile(r"(\w\w\w|[^\W\d_]+|\d[%％])(?=[。！？.!?])")
+SHORT_ENDING = re.compile(r"(?:[^\W\d_]{1,2}|\d[%％])$")
+
+
+def endings(t: str) -> list[str]:
+    """The three characters, or the shorter word or percentage, before each end of a sentence."""
+    out = []
+    for m in SENTENCE_END.finditer(t):
+        i = m.start()
+        s = t[max(0, i - 3) : i]
+        if len(s) == 3 and s.replace("_", "a").isalnum():
+            out.append(s)
+        elif x := SHORT_ENDING.search(s):
+            out.append(x.group())
+    return out
+
+
+SENTENCE_END = re.compile("[。！？.!?]")
 
 
 def _endings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,7 +243,7 @@ def _endings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         c: Counter = Counter()
         for t in b.column(0).to_pylist():
-            c.update([w[-3:] for w in ENDING.findall(t)])
+            c.update(endings(t))
         for w, n in c.items():
             total[ending_cell(w)] += n
     at = np.nonzero(total)[0]

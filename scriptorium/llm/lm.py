@@ -72,18 +72,24 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(at[i : i + 100_000].astype(np.int32)), pa.array(total[at[i : i + 100_000]])], names=["cell", "n"])
 
 
+def add_words(n: np.ndarray, counts: dict[str, int]) -> None:
+    """Add the counts of a batch to their cells: no partition keeps its words."""
+    if counts:
+        np.add.at(n, word_cells(list(counts)), np.fromiter(counts.values(), np.int64, len(counts)))
+
+
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from collections import Counter
 
-    total: Counter = Counter()
+    n = np.zeros(CELLS, np.int64)
     for b in batches:
+        c: Counter = Counter()
         for t in b.column(0).to_pylist():
             if t:
-                total.update(LATIN_WORD.findall(t.lower()))
-    if total:
-        cells = word_cells(list(total))
-        n = np.bincount(cells, weights=np.fromiter(total.values(), np.float64, len(total)), minlength=CELLS).astype(np.int64)
-        at = np.nonzero(n)[0]
+                c.update(LATIN_WORD.findall(t.lower()))
+        add_words(n, c)
+    at = np.nonzero(n)[0]
+    if len(at):
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], names=["cell", "n"])
 
 

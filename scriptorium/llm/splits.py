@@ -34,12 +34,16 @@ def names_nobody(c: Column) -> Column:
     return blank(c) | F.lower(F.regexp_replace(c, r"(?U)^\s+|\s+$", "")).isin(*PLACEHOLDERS)
 
 
-def canonical_doc_id(c: Column) -> Column:
-    """The metadata doc_id that a doc_id, however written, stands for: without path, year prefix, suffix, extension, case and spaces."""
+#: How an id of this corpus looks inside a longer string.
+DOC_ID = r"d\d{10}"
+
+
+def canonical_doc_id(c: Column, doc_id: str = DOC_ID) -> Column:
+    """The metadata doc_id that a doc_id, however written, stands for: without path, year prefix, suffix, extension, case and spaces; doc_id is the pattern of ids."""
     base = F.lower(F.regexp_replace(c, r"(?U)\s+", ""))
     base = F.regexp_replace(base, r"^.*/", "")
     base = F.regexp_replace(base, r"\.[a-z]{1,4}$", "")
-    return F.coalesce(F.nullif(F.regexp_extract(base, r"(?:^|_)(d\d{10})(?:_\d+)?$", 1), F.lit("")), base)
+    return F.coalesce(F.nullif(F.regexp_extract(base, rf"(?:^|_)({doc_id})(?:_\d+)?$", 1), F.lit("")), base)
 
 
 def tie_edges(metadata: DataFrame) -> DataFrame:
@@ -172,13 +176,14 @@ def greedy_counts(sizes: list[tuple[int, int]], shares: dict[str, float]) -> dic
     return out
 
 
-def assign(metadata: DataFrame, variants: DataFrame, targets: DataFrame, buckets: int = 64) -> DataFrame:
+def assign(metadata: DataFrame, variants: DataFrame, targets: DataFrame, per_bucket: int = 100_000) -> DataFrame:
     """(doc_id, group_doc_id, n_rows, split): each doc_id string with the split of its group.
 
     Only the histogram of group sizes reaches the driver: it has at most about the square root of twice the number of rows
     entries, whatever the data. The rank of a group among those of its size comes from counts per hash bucket.
     """
     g = cut(grouped(metadata, variants), "grouped")
+    buckets = max(64, -(-g.count() // per_bucket))  # what one window task sorts stays about the same
     size = g.groupBy("group_doc_id").agg(F.sum(F.col("n_meta") + F.col("n_var")).alias("size"))
     size = cut(size.withColumn("bucket", F.pmod(F.xxhash64("group_doc_id"), F.lit(buckets)).cast("int")), "sizes")
     counts = size.groupBy("size", "bucket").agg(F.count("*").alias("n"))

@@ -56,6 +56,7 @@ TITLE_RUN = re.compile(r"(?<=[a-z,;%\d\]] )((?:(?:[A-Z][a-z]+|[A-Z]{2,}|of|and|t
 #: What stands between the parts of a word broken with a hyphen.
 BROKEN = re.compile(r"[-‐]\s+|[¬\xad]\s*|‐")
 TOKEN = re.compile(r"[A-Za-z0-9À-ɏ]*[A-Za-zÀ-ɏ][A-Za-z0-9À-ɏ]*")
+WORD_OR_NUMBER = re.compile(LATIN_WORD.pattern + r"|\d+(?:\.\d+)?")
 SOFT_COMMA = re.compile(r"[一-鿿%] ,[一-鿿]|[一-鿿] ;[一-鿿]")
 KANGXI = re.compile("[⼀-⿕]")
 LINE = re.compile(r"\r\n|[\n\r\u2028\u2029]")
@@ -256,7 +257,10 @@ class Decoder:
                     kinds.add("hyphenation" if hyphen or over else "misread")
                 if w != t.lower():
                     kinds.add("misread")
-                    w = w.upper() if len(t) > 1 and t.isupper() else w[0].upper() + w[1:] if t[0].isupper() else w
+                    if w.replace(" ", "") == t.lower():  # only a space is put back
+                        w = t[: w.index(" ")] + " " + t[w.index(" ") :]
+                    else:
+                        w = w.upper() if len(t) > 1 and t.isupper() else w[0].upper() + w[1:] if t[0].isupper() else w
                 else:
                     w = t  # the letters as printed
                 out += [flat[at : toks[k].start()], w]
@@ -533,7 +537,7 @@ class Decoder:
 
 
 def _word_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of words and, in texts of the Latin alphabet, of neighbouring words, numbers folded together."""
+    """Counts of words and of neighbouring words in every text, numbers folded together; ideographs part neighbours, as in Decoder.latin."""
     from scriptorium.llm.lm import CELLS, add_words
 
     n = np.zeros(CELLS, np.int64)
@@ -543,10 +547,14 @@ def _word_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not t:
                 continue
             low = t.lower()
-            total.update(LATIN_WORD.findall(low))
-            if low.count("e") > 0.05 * len(low):
-                ws = ["0" if w[0].isdigit() else w for w in re.findall(r"[a-z]+|\d+(?:\.\d+)?", low)]
-                total.update(map(" ".join, zip(ws, ws[1:])))
+            words = LATIN_WORD.findall(low)
+            if not words:  # nobody asks for pairs of numbers alone
+                continue
+            total.update(words)
+            for s in HANS.split(low):
+                if len(s) > 1:
+                    ws = ["0" if w[0].isdigit() else w for w in WORD_OR_NUMBER.findall(s)]
+                    total.update(map(" ".join, zip(ws, ws[1:])))
         add_words(n, total)
         add_words(n, {"\1" + k: v for k, v in total.items()})
     at = np.nonzero(n)[0]

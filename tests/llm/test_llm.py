@@ -113,6 +113,27 @@ def test_scan_words_are_decoded_together(decoder):
     assert kinds == {"misread"} and fixed == zh
 
 
+def test_scan_pairs_of_every_text(spark):
+    """Neighbouring words count in Chinese texts, in texts with few letters e and with accents too; ideographs part them."""
+    import pyarrow as pa
+
+    def pairs_of(t):
+        n = np.zeros(lm.CELLS)
+        for b in scans._word_pairs(iter([pa.RecordBatch.from_arrays([pa.array([t])], names=["t"])])):
+            n[b.column(0).to_numpy()] += b.column(1).to_numpy()
+        return lambda w: n[lm.word_cells([w])[0]]
+
+    zh = pairs_of(ZH + "采用Supply Chain模型，样本为30 firms与Cash，3.5。" + ZH)
+    assert [zh(w) for w in ("supply chain", "0 firms", "chain 0", "firms cash", "cash 0")] == [1, 1, 0, 0, 1]
+    assert pairs_of("Bu yıl şirkət satışı 12 faiz artdı.")("0 faiz") == 1
+    assert [pairs_of("The naïve café here.")(w) for w in ("naïve café", "na ve")] == [1, 0]
+    # two words run together whose pair occurs in Chinese texts only
+    text = ZH + "企业应当改进Supply Chain，并重新评估。" + ZH
+    rows = [(i, text) for i in range(2000)] + [(2000, text.replace("Supply Chain", "SupplyChain"))]
+    got = scans.restore(spark.createDataFrame(rows, "row_id long, text string")).collect()
+    assert [tuple(r) for r in got] == [(2000, ["misread"], text)]
+
+
 def test_scan_pages_inside_chinese_text(decoder):
     for page in ("-12-", "[3/40]"):
         assert decoder.read(ZH.replace("前人研究", page + "前人研究") + ZH) == ({"page_number"}, ZH + ZH)

@@ -235,6 +235,34 @@ def test_overlap_against_brute_force(spark, monkeypatch):
     assert len(want) > 20 and len(more) < 0.25 * len(want)
 
 
+def test_overlap_rounds_bound_the_disk(spark, monkeypatch):
+    """A round takes few shards whatever the table, all rounds find what one finds, and only what the result reads stays on disk."""
+    r = random.Random(8)
+    stock = [c + "。" for i in range(10) for c in long_text(300 + i, 4).split("。") if c]
+    texts = ["".join(r.sample(stock, 5)) for _ in range(80)]
+    texts += ["".join(r.sample([c + "。" for c in t.split("。") if c], 5)) for t in texts[:40]]
+    p = spark.createDataFrame([(i, t, "train" if i < 80 else "dev", "s") for i, t in enumerate(texts + texts[1:5])], "row_id long, text string, split string, source string")
+    v = spark.createDataFrame([], "row_id long, variant_text string, split string, source string")
+    sc = spark.sparkContext
+    blocks = lambda: {str(b) for b in list(sc._jvm.scala.jdk.javaapi.CollectionConverters.asJava(sc._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks())) if str(b).startswith("shuffle_")}
+    monkeypatch.setattr(overlap, "SHARD", 900)
+    took, each = [], overlap._round
+    monkeypatch.setattr(overlap, "_round", lambda index, *more: took.append(index.select("shard").distinct().count()) or each(index, *more))
+    got = {}
+    for most in (1000, 3):
+        monkeypatch.setattr(overlap, "ROUND", most)
+        took.clear()
+        tables, files = set(sc._scriptorium_cuts), blocks()
+        out = overlap.overlaps(p, v)
+        assert max(took) <= most and (len(took) > 2) == (most == 3)
+        assert sorted(x.rsplit("/", 1)[-1].split("-")[0] for x in set(sc._scriptorium_cuts) - tables) == ["classes", "rows"]
+        assert {b for b in blocks() - files} == set()
+        got[most] = sorted(tuple(x) for x in out.collect())
+    assert got[1000] == got[3] and len(got[3]) > 30
+    # no texts at all
+    assert overlap.found(p.limit(0), v).count() == 0
+
+
 def test_passages_tile_the_text():
     for t in (long_text(6), EN, EN[:44], "短。" * 30, long_text(7) + EN, "a" * 41, "…" * 50):
         m = overlap.marked(t)
